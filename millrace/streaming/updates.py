@@ -41,6 +41,7 @@ def append_available(
     """
     spark = stream.sparkSession
     retained = spark.conf.get(_RETAINED)
+    # Read by the running query, so it stays raised until the query has ended.
     spark.conf.set(_RETAINED, str(max(_REPORTS, int(retained))))
     try:
         query = (
@@ -52,12 +53,12 @@ def append_available(
             .trigger(availableNow=True)
             .start()
         )
+        try:
+            query.awaitTermination()
+        finally:
+            query.stop()
     finally:
         spark.conf.set(_RETAINED, retained)
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
     totals: Counter[str] = Counter()
     for progress in query.recentProgress:
         if _METRICS in progress.observedMetrics:

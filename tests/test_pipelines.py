@@ -1,0 +1,210 @@
+import json
+from datetime import datetime
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import require_same_rows
+from millrace.plans import (
+    Step,
+    create_layers,
+    current_generation,
+    database as database_name,
+    full_refresh,
+    new_generation,
+    orders_pipeline,
+    recompute,
+    show,
+    target,
+    update,
+)
+from millrace.sources import landing_stream, orders_raw, scan
+from millrace.streaming import Counts
+
+RAW = "order_id STRING, customer_id STRING, amount STRING, order_ts STRING"
+
+
+@pytest.fixture
+def tables(database):
+    return f"{database}.orders_raw", f"{database}.orders_bronze"
+
+
+def test_sample_orders_end_to_end(spark, tables):
+    done = recompute(spark, orders_pipeline(lambda: orders_raw(spark), *tables))
+    assert scan(spark, tables[0]).count() == 5
+    rows = scan(spark, tables[1]).drop("_processed_at").orderBy("order_id").collect()
+    assert [tuple(r) for r in rows] == [
+        ("1", "cust-001", Decimal("42.50"), datetime(2026, 8, 1, 9, 15)),
+        ("2", "cust-002", Decimal("17.99"), datetime(2026, 8, 1, 11, 42)),
+        ("3", "cust-001", Decimal("128.00"), datetime(2026, 8, 2, 8, 3)),
+        ("4", "cust-003", None, datetime(2026, 8, 2, 14, 20)),
+    ]
+    assert done.counts == {
+        tables[0]: Counts(5, 0),
+        tables[1]: Counts(5, 1, {"valid_order_id": 1}),
+    }
+
+
+def test_recomputing_replaces_and_keeps_the_comment(spark, tables):
+    rows = [("1", "c", "1", "2026-01-01"), ("2", "c", "2", "2026-01-01")]
+    first = recompute(
+        spark, orders_pipeline(lambda: spark.createDataFrame(rows, RAW), *tables)
+    )
+    second = recompute(
+        spark, orders_pipeline(lambda: spark.createDataFrame(rows[:1], RAW), *tables)
+    )
+    assert first.generation != second.generation == current_generation(spark, tables[1]).id
+    assert [r["order_id"] for r in spark.table(tables[1]).collect()] == ["1"]
+    assert "without an id" in spark.catalog.getTable(tables[1]).description
+
+
+def test_a_failed_recompute_leaves_the_old_rows(spark, tables):
+    good = [("1", "c", "1", "2026-01-01")]
+    recompute(spark, orders_pipeline(lambda: spark.createDataFrame(good, RAW), *tables))
+    for bad in [("2", "c", "1", "soon"), (None, "c", "1", "soon")]:
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            recompute(spark, orders_pipeline(lambda: spark.createDataFrame([bad], RAW), *tables))
+        assert [r["order_id"] for r in spark.table(tables[1]).collect()] == ["1"]
+
+
+def test_a_table_may_be_recomputed_from_itself(spark, database):
+    name = f"{database}.t"
+    recompute(spark, [Step(name, lambda read: spark.range(3))])
+    recompute(spark, [Step(name, lambda read: read(name).selectExpr("id + 1 AS id"))])
+    assert sorted(r["id"] for r in spark.table(name).collect()) == [1, 2, 3]
+
+
+def test_changed_columns_give_a_new_catalog_entry(spark, database):
+    name = f"{database}.t"
+    recompute(spark, [Step(name, lambda read: spark.range(3), comment="it's \\ one")])
+    assert spark.catalog.getTable(name).description == "it's \\ one"
+    recompute(spark, [Step(name, lambda read: spark.range(2).selectExpr("id", "'a' AS k"), comment="two")])
+    assert spark.table(name).columns == ["id", "k"]
+    assert spark.table(name).count() == 2
+    assert spark.catalog.getTable(name).description == "two"
+
+
+def test_tables_of_others_are_not_replaced(spark, database, tmp_path):
+    spark.range(3).write.saveAsTable(f"{database}.owned")
+    with pytest.raises(ValueError, match="owns its files"):
+        recompute(spark, [Step(f"{database}.owned", lambda read: spark.range(1))])
+    spark.range(3).write.option("path", str(tmp_path / "x")).saveAsTable(f"{database}.elsewhere")
+    with pytest.raises(ValueError, match="no pipeline here wrote"):
+        update(spark, [Step(f"{database}.elsewhere", lambda read: spark.range(1))])
+    assert spark.table(f"{database}.owned").count() == spark.table(f"{database}.elsewhere").count() == 3
+
+
+@pytest.fixture
+def landing(tmp_path):
+    folder = tmp_path / "landing with space" / "orders"
+    folder.mkdir(parents=True)
+    return folder
+
+
+def land(folder, name, n):
+    rows = [
+        {"order_id": str(i) if i % 5 else None, "customer_id": "c", "amount": f"{i}.5", "order_ts": "2026-01-01"}
+        for i in range(n, n + 20)
+    ]
+    (folder / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+
+def streamed(spark, landing, tables):
+    return orders_pipeline(lambda: landing_stream(spark, str(landing)), *tables)
+
+
+def test_updates_and_refresh_and_recompute_agree(spark, landing, tables, database):
+    steps = streamed(spark, landing, tables)
+    land(landing, "a.json", 0)
+    first = update(spark, steps)
+    land(landing, "b.json", 100)
+    second = update(spark, steps)
+    assert first.generation == second.generation
+    assert second.counts[tables[1]] == Counts(20, 4, {"valid_order_id": 4})
+    # Kept as a copy because the table is about to show other files.
+    spark.table(tables[1]).drop("_processed_at").write.saveAsTable(f"{database}.updated")
+
+    refreshed = full_refresh(spark, steps)
+    assert refreshed.generation != first.generation
+    assert refreshed.counts[tables[1]] == Counts(40, 8, {"valid_order_id": 8})
+    require_same_rows(spark.table(tables[1]).drop("_processed_at"), spark.table(f"{database}.updated"))
+
+    batch = orders_pipeline(
+        lambda: spark.read.schema(RAW).json(str(landing)), f"{database}.batch_raw", f"{database}.batch_bronze"
+    )
+    assert recompute(spark, batch).counts[f"{database}.batch_bronze"] == refreshed.counts[tables[1]]
+    require_same_rows(
+        spark.table(f"{database}.batch_bronze").drop("_processed_at"), spark.table(f"{database}.updated")
+    )
+
+    land(landing, "c.json", 200)
+    assert update(spark, steps).generation == refreshed.generation
+    assert spark.table(tables[1]).count() == 48
+
+
+def test_refresh_forgets_rows_whose_files_are_gone(spark, landing, tables):
+    steps = streamed(spark, landing, tables)
+    land(landing, "a.json", 0)
+    update(spark, steps)
+    (landing / "a.json").write_text('{"order_id": "7", "order_ts": "2026-01-01"}\n')
+    update(spark, steps)
+    assert spark.table(tables[1]).count() == 16
+    full_refresh(spark, steps)
+    assert [r["order_id"] for r in spark.table(tables[1]).collect()] == ["7"]
+
+
+def test_a_refresh_cut_off_between_the_tables_does_no_harm(spark, landing, tables):
+    steps = streamed(spark, landing, tables)
+    land(landing, "a.json", 0)
+    update(spark, steps)
+    before = current_generation(spark, tables[1])
+    # A refresh that wrote its tables but had shown only the first of them.
+    stopped = new_generation(spark, tables[1])
+    spark.table(tables[0]).write.parquet(stopped.data(tables[0]))
+    show(spark, tables[0], stopped, spark.table(tables[0]).schema, steps[0].comment)
+
+    land(landing, "b.json", 100)
+    update(spark, steps)
+    assert current_generation(spark, tables[0]) == current_generation(spark, tables[1]) == before
+    assert spark.table(tables[0]).count() == 40
+    assert spark.table(tables[1]).count() == 32
+
+
+def test_stamp_differs_between_updates(spark, landing, tables):
+    steps = streamed(spark, landing, tables)
+    land(landing, "a.json", 0)
+    update(spark, steps)
+    land(landing, "b.json", 100)
+    update(spark, steps)
+    stamps = spark.table(tables[1]).select("_processed_at").distinct()
+    assert stamps.count() == 2
+    assert stamps.filter(F.col("_processed_at").isNull()).count() == 0
+
+
+def test_names_per_environment():
+    assert target("dev", "bronze", "orders_raw", user="ada") == "orders_dev_ada_bronze.orders_raw"
+    assert target("tst", "silver", "t") == "orders_tst_silver.t"
+    assert database_name("prd", "bronze") == "orders_prd_bronze"
+    for bad in [
+        ("dev", "bronze", "t", None),
+        ("dev", "bronze", "t", "a_b"),
+        ("prd", "bronze", "t", "ada"),
+        ("qa", "bronze", "t", None),
+        ("prd", "gold", "t", None),
+        ("prd", "bronze", "t; DROP", None),
+    ]:
+        with pytest.raises(ValueError):
+            target(*bad)
+
+
+def test_layers_of_two_users_are_apart(spark, tmp_path):
+    for user, rows in (("ann", 1), ("bob", 2)):
+        create_layers(spark, "dev", user, root=str(tmp_path))
+        create_layers(spark, "dev", user, root=str(tmp_path))
+        recompute(spark, [Step(target("dev", "bronze", "t", user), lambda read: spark.range(rows))])
+    assert spark.table("orders_dev_ann_bronze.t").count() == 1
+    assert spark.table("orders_dev_bob_bronze.t").count() == 2
+    silver = spark.catalog.getDatabase("orders_dev_ann_silver")
+    assert silver.locationUri.endswith("/orders_dev_ann_silver")
+    assert spark.catalog.listTables("orders_dev_ann_silver") == []
