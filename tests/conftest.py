@@ -11,6 +11,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .appName("millrace-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.warehouse.dir", str(folder / "warehouse"))
         .config("spark.checkpoint.dir", str(folder / "shared"))

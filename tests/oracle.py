@@ -1,0 +1,67 @@
+"""Compare every registered query with its SQL in DuckDB, as sorted rows.
+
+``python -m tests.oracle DIR [KEY ...]`` prints one line per query.
+"""
+
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+
+import __spark_entry__ as registered
+
+
+def connect(sf_dir):
+    connection = duckdb.connect()
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+    return connection
+
+
+def differences(spark, connection, sf_dir, key):
+    """None when columns, types and rows agree; otherwise what is wrong."""
+    found = registered.queries()[key](spark, sf_dir)
+    expected = connection.sql(registered.oracle_sql()[key])
+    names = sorted(found.columns)
+    if names != sorted(expected.columns):
+        return f"columns {names} and {sorted(expected.columns)}"
+    ours = [tuple(row[n] for n in names) for row in found.collect()]
+    theirs = connection.sql(
+        "SELECT " + ", ".join(f'"{n}"' for n in names) + f" FROM ({registered.oracle_sql()[key]})"
+    ).fetchall()
+    order = lambda row: tuple((v is not None, str(v)) for v in row)
+    ours.sort(key=order)
+    theirs.sort(key=order)
+    if len(ours) != len(theirs):
+        return f"{len(ours)} and {len(theirs)} rows"
+    for a, b in zip(ours, theirs):
+        if [(type(x), x) for x in a] != [(type(x), x) for x in b]:
+            return f"{a} and {b}"
+    return None if ours else "no rows"
+
+
+def main(sf_dir, *keys):
+    from pyspark.sql import SparkSession
+
+    spark = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "8g")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("OFF")
+    connection = connect(sf_dir)
+    for key in keys or registered.queries():
+        began = time.perf_counter()
+        try:
+            problem = differences(spark, connection, sf_dir, key)
+        except Exception as error:
+            problem = f"{type(error).__name__}: {str(error)[:600]}"
+        print(f"{'ok  ' if problem is None else 'DIFF'} {key} {time.perf_counter() - began:.2f}s {problem or ''}", flush=True)
+
+
+if __name__ == "__main__":
+    main(*sys.argv[1:])
