@@ -17,6 +17,10 @@ class Expectation:
     name: str
     condition: str
 
+    def __post_init__(self) -> None:
+        if self.name in ("seen", "dropped"):
+            raise ValueError(f"{self.name!r} is the name of a total and cannot name an expectation")
+
     def met(self) -> Column:
         return F.coalesce(F.expr(self.condition), F.lit(False))
 

@@ -1,4 +1,4 @@
-from .generations import Generation, current_generation, new_generation, show
+from .generations import Generation, current_generation, new_generation, retire_generations, show
 from .governed import BLOCKED, AmbiguousRequest, LedgerTampered, governed_refresh
 from .pipelines import Step, Update, full_refresh, orders_pipeline, recompute, update
 from .targets import create_layers, database, target
@@ -18,6 +18,7 @@ __all__ = [
     "new_generation",
     "orders_pipeline",
     "recompute",
+    "retire_generations",
     "show",
     "target",
     "update",

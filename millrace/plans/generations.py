@@ -63,6 +63,28 @@ def current_generation(spark: SparkSession, table: str) -> Generation | None:
     return Generation(folder)
 
 
+def retire_generations(spark: SparkSession, table: str, keep: int = 1) -> list[str]:
+    """Delete generations older than the one shown, except the newest ``keep`` of them.
+
+    Replacing a table leaves the files it showed before, for readers still at
+    work and for going back. Ids begin with the time of writing, so a generation
+    being written now is newer than the one shown and is not touched. The
+    pipeline is named by its last table. Returns the ids that were deleted.
+    """
+    current = current_generation(spark, table)
+    if current is None:
+        return []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(current.folder).getParent()
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    ids = sorted(status.getPath().getName().removeprefix("gen=") for status in files.listStatus(folder))
+    older = [name for name in ids if name < current.id]
+    retired = older[: max(len(older) - keep, 0)]
+    for name in retired:
+        files.delete(hadoop.Path(folder, f"gen={name}"), True)
+    return retired
+
+
 def _columns(spark: SparkSession, table: str) -> list[tuple[str, str]]:
     return [(column.name, column.dataType) for column in spark.catalog.listColumns(table)]
 

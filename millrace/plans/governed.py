@@ -21,7 +21,6 @@ from ..operators import (
     refresh_decision,
     refresh_eligible,
     release_tags,
-    requested_refreshes,
     tampered,
 )
 from ..sources import scan
@@ -56,13 +55,13 @@ def governed_refresh(
     again. One run at a time: appends to a plain table cannot detect a rival claim.
     """
     tags = release_tags(spark.createDataFrame([(tag,)], "tag STRING"))
-    decided = refresh_decision(tags, requests).first()
+    asked = requests.filter(F.col("release_version") == tag)
+    decided = refresh_decision(tags, asked).first()
     if decided is None or decided["decision"] == SKIP:
         return SKIP
     if decided["decision"] == FAIL:
         raise AmbiguousRequest(f"{decided['n_requests']} refresh requests for tag {tag}")
 
-    asked = requested_refreshes(tags, requests)
     request = asked.first()
     if request["pipeline_key"] is None:
         raise ValueError(f"the refresh request for tag {tag} names no pipeline")

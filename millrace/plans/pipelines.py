@@ -15,6 +15,7 @@ from ..operators import (
     require_contract,
     transform_orders,
 )
+from ..session import require_strict_casts
 from ..sources import scan, scan_new_files
 from ..streaming import Counts, append_available
 from .generations import Generation, current_generation, new_generation, show
@@ -62,6 +63,7 @@ def recompute(spark: SparkSession, steps: Sequence[Step]) -> Update:
 
     The counts come from the writing jobs themselves, so nothing is read twice.
     """
+    require_strict_casts(spark)
     generation = new_generation(spark, steps[-1].table)
     counts = {}
     for step in steps:
@@ -84,6 +86,7 @@ def _append_to(
     a generation that is shown already are kept current step by step; a new one
     is shown only when all its tables are complete.
     """
+    require_strict_casts(spark)
     counts, schemas = {}, {}
 
     def read(table: str) -> DataFrame:

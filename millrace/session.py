@@ -24,6 +24,12 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def require_strict_casts(spark: SparkSession) -> None:
+    """Refuse a session in which unreadable timestamps would silently become NULL."""
+    if spark.conf.get("spark.sql.ansi.enabled") != "true":
+        raise ValueError("spark.sql.ansi.enabled must be true; strict casts depend on it")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused path below the folder that every executor can reach.
 

@@ -23,7 +23,7 @@ def ledger(database):
 def requests(spark):
     return spark.createDataFrame(
         [
-            ("orders_pipeline", "1.0.1", "Upstream schema fix, JIRA-4821"),
+            ("orders_pipeline", "1.0.1", "landing files were corrected"),
             ("orders_pipeline", "1.0.2", "one"),
             ("other_pipeline", "1.0.2", "two"),
             ("absent_pipeline", "1.0.3", "nobody knows it"),
@@ -80,7 +80,7 @@ def test_a_completed_refresh_is_recorded_and_runs_once(spark, requests, ledger):
     assert run(spark, "1.0.1", requests, ledger, refresher) == "BLOCKED"
     assert refresher.calls == 1
     rows = scan(spark, ledger, fresh=True).orderBy("seq").drop("attempt_id", "integrity").collect()
-    common = ("orders_pipeline", "1.0.1", "Upstream schema fix, JIRA-4821", "tess", NO_APPROVER)
+    common = ("orders_pipeline", "1.0.1", "landing files were corrected", "tess", NO_APPROVER)
     assert [tuple(r) for r in rows] == [
         (1, *common, None, "http://run/1", "TRIGGERING"),
         (2, *common, "u1", "http://run/1", "COMPLETED"),

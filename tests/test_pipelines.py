@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from millrace.plans import (
     new_generation,
     orders_pipeline,
     recompute,
+    retire_generations,
     show,
     target,
     update,
@@ -208,3 +210,64 @@ def test_layers_of_two_users_are_apart(spark, tmp_path):
     silver = spark.catalog.getDatabase("orders_dev_ann_silver")
     assert silver.locationUri.endswith("/orders_dev_ann_silver")
     assert spark.catalog.listTables("orders_dev_ann_silver") == []
+
+
+def test_superseded_generations_are_kept_until_retired(spark, tables, tmp_path):
+    def run(n):
+        rows = [(str(i), "c", "1", "2026-01-01") for i in range(n)]
+        return recompute(spark, orders_pipeline(lambda: spark.createDataFrame(rows, RAW), *tables)).generation
+
+    assert retire_generations(spark, tables[1]) == []
+    ids = [run(n) for n in (1, 2, 3)]
+    being_written = new_generation(spark, tables[1])
+    spark.range(1).write.parquet(being_written.data(tables[0]))
+    ids.sort()
+    current = current_generation(spark, tables[1]).id
+    older = [i for i in ids if i < current]
+    assert retire_generations(spark, tables[1], keep=1) == older[:-1]
+    assert retire_generations(spark, tables[1], keep=0) == older[-1:]
+    assert spark.table(tables[0]).count() == spark.table(tables[1]).count() == 3
+    assert spark.read.parquet(being_written.data(tables[0])).count() == 1
+
+
+def test_lax_sessions_are_refused(spark, tables):
+    steps = orders_pipeline(lambda: orders_raw(spark), *tables)
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(ValueError, match="ansi"):
+            recompute(spark, steps)
+        with pytest.raises(ValueError, match="ansi"):
+            update(spark, steps)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_odd_folder_names(spark, tmp_path, landing):
+    create_layers(spark, "dev", "odd", root=str(tmp_path / "a b%20c"))
+    names = [target("dev", "bronze", t, "odd") for t in ("orders_raw", "orders_bronze")]
+    steps = streamed(spark, landing, names)
+    land(landing, "a.json", 0)
+    first = update(spark, steps).generation
+    land(landing, "b.json", 100)
+    assert update(spark, steps).generation == first
+    assert spark.table(names[1]).count() == 32
+
+
+@pytest.mark.parametrize("manifest_written", [True, False])
+def test_a_batch_cut_off_before_its_commit_is_taken_once(spark, landing, tables, tmp_path, manifest_written):
+    """The run ends after the files were written and before the batch was logged as done."""
+    steps = streamed(spark, landing, tables)
+    land(landing, "a.json", 0)
+    update(spark, steps)
+    generation = current_generation(spark, tables[1])
+    # A table starts only after the one before it is complete, so the last one is cut off.
+    marks = [f"{generation.checkpoint(tables[1])}/commits"]
+    if not manifest_written:
+        marks.append(f"{generation.data(tables[1])}/_spark_metadata")
+    for folder in marks:
+        for name in ("0", ".0.crc"):
+            (Path(folder.removeprefix("file:")) / name).unlink()
+    land(landing, "b.json", 100)
+    update(spark, steps)
+    assert spark.table(tables[0]).count() == 40
+    assert spark.table(tables[1]).count() == 32
