@@ -339,8 +339,30 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh_decision(_tags(spark, sf_dir), _requests(spark, sf_dir))
 
 
+def _block_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tags as the customers are many: 25 for every block of 40 customers."""
+    tag = F.concat_ws(".", F.col("c_custkey") % 25, F.expr("c_custkey div 40"), F.lit("0"))
+    return _table(spark, sf_dir, "customer").select(tag.alias("tag"))
+
+
+def _block_release() -> F.Column:
+    return F.concat_ws(".", "c_nationkey", F.expr("c_custkey div 40"), F.lit("0")).alias("release_version")
+
+
+def _block_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("p"), "c_custkey").alias("pipeline_key"),
+        _block_release(),
+        F.col("c_mktsegment").alias("reason"),
+    )
+
+
+def decisions_many_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh_decision(_block_tags(spark, sf_dir), _block_requests(spark, sf_dir))
+
+
 def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requested_refreshes(_tags(spark, sf_dir), _requests(spark, sf_dir))
+    return requested_refreshes(_block_tags(spark, sf_dir), _block_requests(spark, sf_dir))
 
 
 def _event_key(shift: int) -> list[F.Column]:
@@ -436,7 +458,6 @@ def releases_to_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(segment == "MACHINERY", "OUTCOME UNKNOWN")
         .otherwise("COMPLETED")
     )
-    release_version = F.concat_ws(".", "c_nationkey", F.col("c_custkey") % 40, F.lit("0"))
     ledger = (
         _table(spark, sf_dir, "customer")
         .withColumn("seq", F.explode(seqs))
@@ -444,14 +465,13 @@ def releases_to_run(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("a"), "c_custkey").alias("attempt_id"),
             "seq",
             F.concat(F.lit("p"), "c_custkey").alias("pipeline_key"),
-            release_version.alias("release_version"),
+            _block_release(),
             outcome.alias("outcome"),
         )
     )
-    tags = release_tags(_tags(spark, sf_dir))
-    return refresh_eligible(
-        requested_refreshes(tags, _requests(spark, sf_dir)), current_outcomes(ledger)
-    )
+    tags = release_tags(_block_tags(spark, sf_dir))
+    asked = requested_refreshes(tags, _block_requests(spark, sf_dir))
+    return refresh_eligible(asked, current_outcomes(ledger))
 
 
 def governed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,6 +525,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "full_refresh": full_refresh,
         "release_tags": tags_of_releases,
         "refresh_decision": decisions,
+        "refresh_decision_many_tags": decisions_many_tags,
         "requested_refreshes": requested,
         "refresh_eligible": eligible,
         "ledger_current": ledger_current,
@@ -550,6 +571,21 @@ requests AS (
   FROM customer
 )"""
 
+_BLOCK_TAGS = """
+tags AS (SELECT DISTINCT c_custkey % 25 || '.' || c_custkey // 40 || '.0' AS tag FROM customer)"""
+
+_BLOCK_REQUESTS = """
+requests AS (
+  SELECT 'p' || c_custkey AS pipeline_key, c_nationkey || '.' || c_custkey // 40 || '.0' AS release_version,
+         c_mktsegment AS reason
+  FROM customer
+)"""
+
+_DECISION = """
+SELECT tag, count(release_version) AS n_requests,
+       CASE count(release_version) WHEN 0 THEN 'SKIP' WHEN 1 THEN 'RUN' ELSE 'FAIL' END AS decision
+FROM tags LEFT JOIN requests ON release_version = tag GROUP BY tag"""
+
 
 def _ledger_sql(shift: int = 0) -> str:
     return f"""
@@ -693,13 +729,10 @@ def oracle_sql() -> dict[str, str]:
         "release_tags": """
             SELECT DISTINCT o_orderkey % 11 || '.' || o_orderkey % 29 || '.' || o_orderkey % 997 AS tag
             FROM orders WHERE o_orderkey % 7 = 0""",
-        "refresh_decision": f"""
-            WITH {_TAGS}, {_REQUESTS}
-            SELECT tag, count(release_version) AS n_requests,
-                   CASE count(release_version) WHEN 0 THEN 'SKIP' WHEN 1 THEN 'RUN' ELSE 'FAIL' END AS decision
-            FROM tags LEFT JOIN requests ON release_version = tag GROUP BY tag""",
+        "refresh_decision": f"WITH {_TAGS}, {_REQUESTS} {_DECISION}",
+        "refresh_decision_many_tags": f"WITH {_BLOCK_TAGS}, {_BLOCK_REQUESTS} {_DECISION}",
         "requested_refreshes": f"""
-            WITH {_TAGS}, {_REQUESTS}
+            WITH {_BLOCK_TAGS}, {_BLOCK_REQUESTS}
             SELECT min(pipeline_key) AS pipeline_key, tag AS release_version, min(reason) AS reason
             FROM tags JOIN requests ON release_version = tag GROUP BY tag HAVING count(*) = 1""",
         "refresh_eligible": f"""
@@ -726,10 +759,10 @@ def oracle_sql() -> dict[str, str]:
             WITH {_ledger_sql()}
             SELECT * REPLACE (coalesce(approver, 'unknown (no pull request found)') AS approver) FROM ledger""",
         "releases_to_run": f"""
-            WITH {_TAGS}, {_REQUESTS},
+            WITH {_BLOCK_TAGS}, {_BLOCK_REQUESTS},
             ledger AS (
               SELECT 'a' || c_custkey AS attempt_id, seq, 'p' || c_custkey AS pipeline_key,
-                     c_nationkey || '.' || c_custkey % 40 || '.0' AS release_version,
+                     c_nationkey || '.' || c_custkey // 40 || '.0' AS release_version,
                      CASE WHEN seq = 1 THEN 'TRIGGERING' WHEN c_mktsegment = 'BUILDING' THEN 'FAILED'
                           WHEN c_mktsegment = 'MACHINERY' THEN 'OUTCOME UNKNOWN' ELSE 'COMPLETED' END AS outcome
               FROM customer, (VALUES (1), (2)) AS s(seq)
