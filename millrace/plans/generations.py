@@ -28,6 +28,11 @@ class Generation:
     def id(self) -> str:
         return self.folder.rpartition("/gen=")[2]
 
+    @property
+    def streamed(self) -> bool:
+        """Whether it was written by streams, whose checkpoints an update can go on from."""
+        return self.id.endswith("-stream")
+
     def data(self, table: str) -> str:
         return f"{self.folder}/{_short(table)}/data"
 
@@ -44,15 +49,19 @@ def _database_folder(spark: SparkSession, table: str) -> str:
     return spark.catalog.getDatabase(name).locationUri.rstrip("/")
 
 
-def new_generation(spark: SparkSession, table: str) -> Generation:
+def new_generation(spark: SparkSession, table: str, streamed: bool) -> Generation:
     """An unused generation of the pipeline that ends in ``table``."""
-    written = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
+    written = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     folder = f"{_database_folder(spark, table)}/generations/{_short(table)}"
-    return Generation(f"{folder}/gen={written}-{uuid4().hex[:12]}")
+    kind = "stream" if streamed else "batch"
+    return Generation(f"{folder}/gen={written}-{uuid4().hex[:12]}-{kind}")
 
 
 def current_generation(spark: SparkSession, table: str) -> Generation | None:
-    """The generation ``table`` shows, or None before the first one."""
+    """The generation ``table`` shows, or None before the first one.
+
+    A table that shows anything else belongs to somebody else: that is an error.
+    """
     if not spark.catalog.tableExists(table):
         return None
     described = spark.sql(f"DESCRIBE TABLE EXTENDED {table} AS JSON").first()[0]
@@ -97,15 +106,13 @@ def show(
     Only the catalog is consulted; the files of the old generation are not listed.
     """
     path = generation.data(table)
-    exists = spark.catalog.tableExists(table)
-    if exists and spark.catalog.getTable(table).tableType != "EXTERNAL":
-        raise ValueError(f"{table} owns its files; refusing to replace it")
+    shown = current_generation(spark, table)
     expected = [(field.name, field.dataType.simpleString()) for field in schema]
-    if not exists or _columns(spark, table) != expected:
+    if shown is None or _columns(spark, table) != expected:
         # An external table: dropping the entry leaves every generation's files.
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         spark.catalog.createTable(table, path=path, source="parquet", schema=schema)
-    elif current_generation(spark, table) == generation:
+    elif shown == generation:
         spark.catalog.refreshTable(table)
     else:
         spark.sql(f"ALTER TABLE {table} SET LOCATION :path", args={"path": path})

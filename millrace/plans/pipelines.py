@@ -58,13 +58,20 @@ def orders_pipeline(rows: Callable[[], DataFrame], raw: str, bronze: str) -> tup
     )
 
 
+def _require_ready(spark: SparkSession, steps: Sequence[Step]) -> None:
+    """Refuse what would only fail, or do harm, after all the work was done."""
+    require_strict_casts(spark)
+    for step in steps:
+        current_generation(spark, step.table)
+
+
 def recompute(spark: SparkSession, steps: Sequence[Step]) -> Update:
     """Batch update: write every table anew, each shown as soon as it is complete.
 
     The counts come from the writing jobs themselves, so nothing is read twice.
     """
-    require_strict_casts(spark)
-    generation = new_generation(spark, steps[-1].table)
+    _require_ready(spark, steps)
+    generation = new_generation(spark, steps[-1].table, streamed=False)
     counts = {}
     for step in steps:
         rows = step.build(lambda table: scan(spark, table))
@@ -86,7 +93,7 @@ def _append_to(
     a generation that is shown already are kept current step by step; a new one
     is shown only when all its tables are complete.
     """
-    require_strict_casts(spark)
+    _require_ready(spark, steps)
     counts, schemas = {}, {}
 
     def read(table: str) -> DataFrame:
@@ -111,9 +118,10 @@ def update(spark: SparkSession, steps: Sequence[Step]) -> Update:
 
     The last table is shown last, so its generation is the pipeline's. Earlier
     tables are pointed at the same one, should a refresh have stopped in between.
+    Tables that a batch wrote have no checkpoint to go on from and are refreshed.
     """
     generation = current_generation(spark, steps[-1].table)
-    if generation is None:
+    if generation is None or not generation.streamed:
         return full_refresh(spark, steps)
     return _append_to(spark, steps, generation, shown=True)
 
@@ -124,5 +132,5 @@ def full_refresh(spark: SparkSession, steps: Sequence[Step]) -> Update:
     Data and checkpoints are new together. With only one of them new, the run
     would add nothing, or would leave the table empty.
     """
-    generation = new_generation(spark, steps[-1].table)
+    generation = new_generation(spark, steps[-1].table, streamed=True)
     return _append_to(spark, steps, generation, shown=False)

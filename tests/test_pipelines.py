@@ -89,11 +89,14 @@ def test_changed_columns_give_a_new_catalog_entry(spark, database):
 
 def test_tables_of_others_are_not_replaced(spark, database, tmp_path):
     spark.range(3).write.saveAsTable(f"{database}.owned")
-    with pytest.raises(ValueError, match="owns its files"):
+    with pytest.raises(ValueError, match="no pipeline here wrote"):
         recompute(spark, [Step(f"{database}.owned", lambda read: spark.range(1))])
     spark.range(3).write.option("path", str(tmp_path / "x")).saveAsTable(f"{database}.elsewhere")
     with pytest.raises(ValueError, match="no pipeline here wrote"):
         update(spark, [Step(f"{database}.elsewhere", lambda read: spark.range(1))])
+    for attempt in (recompute, update, full_refresh):
+        with pytest.raises(ValueError, match="no pipeline here wrote"):
+            attempt(spark, [Step(f"{database}.elsewhere", lambda read: pytest.fail("built"))])
     assert spark.table(f"{database}.owned").count() == spark.table(f"{database}.elsewhere").count() == 3
 
 
@@ -162,7 +165,7 @@ def test_a_refresh_cut_off_between_the_tables_does_no_harm(spark, landing, table
     update(spark, steps)
     before = current_generation(spark, tables[1])
     # A refresh that wrote its tables but had shown only the first of them.
-    stopped = new_generation(spark, tables[1])
+    stopped = new_generation(spark, tables[1], streamed=True)
     spark.table(tables[0]).write.parquet(stopped.data(tables[0]))
     show(spark, tables[0], stopped, spark.table(tables[0]).schema, steps[0].comment)
 
@@ -219,7 +222,7 @@ def test_superseded_generations_are_kept_until_retired(spark, tables, tmp_path):
 
     assert retire_generations(spark, tables[1]) == []
     ids = [run(n) for n in (1, 2, 3)]
-    being_written = new_generation(spark, tables[1])
+    being_written = new_generation(spark, tables[1], streamed=False)
     spark.range(1).write.parquet(being_written.data(tables[0]))
     ids.sort()
     current = current_generation(spark, tables[1]).id
@@ -271,3 +274,27 @@ def test_a_batch_cut_off_before_its_commit_is_taken_once(spark, landing, tables,
     update(spark, steps)
     assert spark.table(tables[0]).count() == 40
     assert spark.table(tables[1]).count() == 32
+
+
+def test_an_update_after_a_recompute_starts_over(spark, landing, tables):
+    land(landing, "a.json", 0)
+    batch = orders_pipeline(lambda: spark.read.schema(RAW).json(str(landing)), *tables)
+    recomputed = recompute(spark, batch)
+    land(landing, "b.json", 100)
+    updated = update(spark, streamed(spark, landing, tables))
+    assert updated.generation != recomputed.generation
+    assert updated.counts[tables[1]].seen == 40
+    assert spark.table(tables[1]).count() == 32
+    assert recompute(spark, batch).counts == updated.counts
+    assert spark.table(tables[1]).count() == 32
+
+
+def test_a_reader_at_work_keeps_the_rows_it_started_with(spark, landing, tables):
+    steps = streamed(spark, landing, tables)
+    land(landing, "a.json", 0)
+    update(spark, steps)
+    reader = spark.table(tables[1])
+    land(landing, "b.json", 100)
+    full_refresh(spark, steps)
+    assert reader.count() == 16
+    assert spark.table(tables[1]).count() == 32
