@@ -59,6 +59,15 @@ def _text(column: str) -> F.Column:
     return F.col(column).cast("string")
 
 
+def _one_of(forms: list[F.Column], key: str) -> F.Column:
+    """The form whose turn it is by the row's key. Only that one is computed."""
+    turn = F.col(key) % len(forms)
+    chosen = F.when(turn == 0, forms[0])
+    for position, form in enumerate(forms[1:], start=1):
+        chosen = chosen.when(turn == position, form)
+    return chosen
+
+
 # --- raw and cleaned orders -------------------------------------------------
 
 
@@ -88,8 +97,7 @@ def inline_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tolerant_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    buyer = _text("o_custkey")
+    price, buyer = F.col("price"), F.col("buyer")
     forms = [
         price,
         F.concat(F.lit("  "), price, F.lit(" ")),
@@ -104,10 +112,12 @@ def tolerant_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("9999999999999999"), price),
         F.lit("NaN"),
     ]
-    form = (F.col("o_orderkey") % len(forms) + 1).cast("int")
-    written = _table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.element_at(F.array(*forms), form).alias("amount")
+    parts = _table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"),
+        _text("o_custkey").alias("buyer"),
     )
+    written = parts.select("o_orderkey", _one_of(forms, "o_orderkey").alias("amount"))
     fields = [Field("o_orderkey", "string"), Field("amount", "decimal(18,2)", tolerant=True)]
     return conform(written, fields)
 
@@ -120,9 +130,8 @@ def strict_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(when, "yyyy-M-d '9:15'"),
         F.date_format(when, "yyyy-MM-dd'T09:15:00Z'"),
     ]
-    form = (F.col("o_orderkey") % len(forms) + 1).cast("int")
     written = _table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.element_at(F.array(*forms), form).alias("order_ts")
+        "o_orderkey", _one_of(forms, "o_orderkey").alias("order_ts")
     )
     read = conform(written, [Field("o_orderkey", "string"), Field("order_ts", "timestamp")])
     return read.withColumn("order_ts", F.col("order_ts").cast("timestamp_ntz"))
@@ -291,9 +300,8 @@ def landing_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(""),
         F.format_string('{"order_id":null,"customer_id":"%s","amount":"%s"}', buyer, price),
     ]
-    form = (F.col("o_orderkey") % len(lines) + 1).cast("int")
     place = _Workplace(spark, "landing_forms")
-    orders.select(F.element_at(F.array(*lines), form).alias("value")).write.text(
+    orders.select(_one_of(lines, "o_orderkey").alias("value")).write.text(
         f"{place.folder}/landing/orders/forms"
     )
     update(spark, place.streamed())
@@ -330,8 +338,7 @@ def tags_of_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(version, F.lit(" ")),
         F.concat(version, F.lit("\n")),
     ]
-    form = (key % len(forms) + 1).cast("int")
-    tags = _table(spark, sf_dir, "orders").select(F.element_at(F.array(*forms), form).alias("tag"))
+    tags = _table(spark, sf_dir, "orders").select(_one_of(forms, "o_orderkey").alias("tag"))
     return release_tags(tags)
 
 
