@@ -7,12 +7,17 @@ Requests, tags and attempts are derived from customers, nations and events.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The package lies beside this file, which may be loaded from anywhere.
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 from millrace.functions import Field
 from millrace.operators import (
     LEDGER_FIELDS,
