@@ -515,7 +515,33 @@ def entry(spark: SparkSession) -> DataFrame:
     return orders_bronze(spark, SMOKE_DIR)
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators, where they can be imported."""
+    found, sql = {}, {}
+    try:
+        from millrace.llm.queries import ORACLE_SQL, QUERIES
+
+        found |= QUERIES
+        sql |= ORACLE_SQL
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    except ImportError:
+        pass
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | _training_data()[0]
+
+
+def oracle_sql() -> dict[str, str]:
+    return _own_sql() | _training_data()[1]
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_orders": raw_orders,
         "orders_bronze": orders_bronze,
@@ -670,7 +696,7 @@ def _json_text(name: str) -> str:
     return f"""'"{name}":' || coalesce(CAST(to_json({name}) AS VARCHAR), 'null')"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _own_sql() -> dict[str, str]:
     record = " || ',' || ".join(_json_text(name) for name in LEDGER_FIELDS)
     return {
         "raw_orders": f"WITH {_RAW} SELECT * FROM raw",
