@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import let
+
 #: Spans scoring at least this are reported; base kinds always are.
 THRESHOLD = 0.6
 #: Characters before a span that are searched for context words, and what one is worth.
@@ -93,11 +95,6 @@ ADDED = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often and within whatever lambda it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def running_sum(numbers: Column) -> Column:
     """Sums up to and with each element, by blocks, so that long arrays cost little more than short ones.
 

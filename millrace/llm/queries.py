@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from millrace.session import pin
 
+from . import sql
+from .decontamination import contaminated
+from .line_dedup import drop_boilerplate
+from .mixing import mix
 from .pii import BASE as PII_KINDS
 from .pii import count_of, find_personal_data, span_list
 from .quality import POLICIES, ledger, verdict
+from .quotes import link_quotes
 from .token_counts import count_tokens
+from .url_filter import judge_urls
 from .workers import ship
 
 
@@ -21,6 +27,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its site."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return drop_boilerplate(docs, dropped="n_dropped_lines").select("doc_id", "text", "n_dropped_lines")
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+#: The rules of the query.
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +70,21 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", "block", "slot", "position")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contaminated(docs.select("doc_id", "text"), items).select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, current = POLICIES[0], POLICIES[-1]
@@ -50,9 +96,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op3_url_filter": op3_url_filter,
     "op6_token_counts": op6_token_counts,
     "op7_pii": op7_pii,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": sql.LINE_DEDUP,
+    "op3_url_filter": sql.URL_FILTER,
+    "op9_decontamination": sql.DECONTAMINATION,
+    "op10_quality_rules": sql.QUALITY,
+}
