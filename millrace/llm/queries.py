@@ -13,6 +13,7 @@ from . import sql
 from .decontamination import contaminated
 from .line_dedup import drop_boilerplate
 from .mixing import mix
+from .near_dup import near_duplicates
 from .pii import BASE as PII_KINDS
 from .pii import count_of, find_personal_data, span_list
 from .quality import POLICIES, ledger, verdict
@@ -52,6 +53,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_url_filter": op3_url_filter,
+    "op4_minhash_near_dedup": op4_minhash,
     "op6_token_counts": op6_token_counts,
     "op7_pii": op7_pii,
     "op8_source_mixing": op8_source_mixing,
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": sql.LINE_DEDUP,
     "op3_url_filter": sql.URL_FILTER,
+    "op4_minhash_near_dedup": sql.NEAR_DUPLICATES,
     "op9_decontamination": sql.DECONTAMINATION,
     "op10_quality_rules": sql.QUALITY,
 }
