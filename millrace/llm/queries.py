@@ -19,6 +19,7 @@ from .pii import count_of, find_personal_data, span_list
 from .quality import POLICIES, ledger, verdict
 from .quotes import link_quotes
 from .token_counts import count_tokens
+from .toxicity import HELD_OUT, fit, fold, score_toxicity
 from .url_filter import judge_urls
 from .workers import ship
 
@@ -57,6 +58,17 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_url_filter": op3_url_filter,
     "op4_minhash_near_dedup": op4_minhash,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_pii": op7_pii,
     "op8_source_mixing": op8_source_mixing,

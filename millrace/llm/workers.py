@@ -11,8 +11,17 @@ from pyspark.sql import SparkSession
 _ARCHIVE = "millrace-package.zip"
 
 
+#: Bounds on what a Python worker is handed at once, whatever the length of texts.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, as ``--py-files`` would, once per Spark context."""
+    """Send this package to the executors, as ``--py-files`` would, once per Spark context, and bound batches."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     context = spark.sparkContext
     if any(name.endswith(_ARCHIVE) for name in context.listFiles):
         return
