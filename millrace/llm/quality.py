@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .words import SPACES, byte_table, grams, pieces, words
 
@@ -52,7 +53,7 @@ class Policy:
 POLICIES = (Policy(1, BASE), Policy(2, tuple(RULES)))
 
 
-@F.arrow_udf("struct<n_words:bigint,n_repeat_words:bigint>")
+@F.arrow_udf(StructType([StructField("n_words", LongType()), StructField("n_repeat_words", LongType())]))
 def _word_counts(texts: pa.Array) -> pa.Array:
     n_words = np.zeros(len(texts), np.int64)
     n_repeat = np.zeros(len(texts), np.int64)

@@ -1,0 +1,105 @@
+"""Plain versions of the operators, for small fixtures."""
+
+import re
+from collections import Counter, defaultdict
+
+
+BLANK = re.compile(r"[\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return "".join(c.lower() if c < "\x80" else c for c in text or "")
+
+
+def blank_words(text):
+    return [w for w in BLANK.split(text or "") if w]
+
+
+def shingles(text, size):
+    words = blank_words(lower(text))
+    if len(words) < size:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+
+
+def components(rows, size, percent=80):
+    """Per (id, text) row: id, number of shingles, least id of its component, kept."""
+    sets = defaultdict(list)
+    for i, text in rows:
+        sets[shingles(text, size)].append(i)
+    nodes = list(sets)
+    parent = list(range(len(nodes)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(nodes):
+        for j in range(i):
+            common = len(a & nodes[j])
+            if a and nodes[j] and 100 * common >= percent * (len(a) + len(nodes[j]) - common):
+                parent[find(i)] = find(j)
+    members = defaultdict(list)
+    for i, a in enumerate(nodes):
+        members[find(i)] += [x for x in sets[a] if x is not None]
+    out = []
+    for i, a in enumerate(nodes):
+        for x in sets[a]:
+            least = min(members[find(i)], default=None) if a else x
+            out.append((x, len(a), least, x == least))
+    return Counter(out)
+
+
+def windows(items):
+    found = defaultdict(set)
+    for item, text in items:
+        words = ALNUM.findall(lower(text))
+        n = min(10, len(words))
+        for i in range(len(words) - n + 1) if n else ():
+            found[tuple(words[i : i + n])].add(item)
+    return found
+
+
+def hits(text, found):
+    words = ALNUM.findall(lower(text))
+    places, items = set(), set()
+    for n in {len(w) for w in found}:
+        for i in range(len(words) - n + 1):
+            if (met := found.get(tuple(words[i : i + n]))) is not None:
+                places.update(range(i, i + n))
+                items |= met
+    return len(words), len(places), sorted(str(i) for i in items if i is not None)
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def personal(text):
+    text, found = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        found.append((m.start(), 0, m.end(), "email"))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            found.append((m.start(), 1, m.end(), "ip"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        if 12 <= len(digits) <= 19 and luhn(digits):
+            found.append((m.start(), 2, m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+            found.append((m.start(), 3, m.end(), "phone"))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def quality(text):
+    text = text or ""
+    words = blank_words(text)
+    seen = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeated = {p for i in range(len(words) - 2) if seen[tuple(words[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+    lines = [line for line in text.split("\n") if blank_words(line)]
+    return (
+        len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated),
+    )
