@@ -5,7 +5,10 @@
     python -m millrace.job release --env prd --source-path /landing/orders \\
         --tag 1.0.1 --requests governance.refresh_requests --tagger tess
 
-``release`` carries out the full refresh a tag asks for, if it asks for one.
+    python -m millrace.job retire --env tst --source-path /landing/orders
+
+``release`` carries out the full refresh a tag asks for, if it asks for one; in prd there is
+no other. ``retire`` deletes superseded generations but the newest one.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from .plans import (
     full_refresh,
     governed_refresh,
     orders_pipeline,
+    retire_generations,
     target,
     update,
 )
@@ -35,7 +39,7 @@ PIPELINE_KEY = "orders_pipeline"
 
 def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="millrace.job", description=__doc__.splitlines()[0])
-    parser.add_argument("action", choices=["update", "full-refresh", "release"])
+    parser.add_argument("action", choices=["update", "full-refresh", "release", "retire"])
     parser.add_argument("--env", default="dev", choices=["dev", "tst", "prd"])
     parser.add_argument("--user", help="whose databases to use in dev")
     parser.add_argument("--root", help="folder for new databases; default is the warehouse")
@@ -46,6 +50,8 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     parser.add_argument("--approver", help="release: who approved the request")
     parser.add_argument("--run-link", help="release: where this run can be looked up")
     arguments = parser.parse_args(argv)
+    if arguments.action == "full-refresh" and arguments.env == "prd":
+        parser.error("prd is refreshed by an approved request only: use release")
     if arguments.action == "release":
         for name in ("tag", "requests", "tagger"):
             if getattr(arguments, name) is None:
@@ -70,6 +76,8 @@ def main(argv: Sequence[str] | None = None) -> dict:
         counts = {table: asdict(counted) for table, counted in done.counts.items()}
         return {"generation": done.generation, "counts": counts}
 
+    if asked.action == "retire":
+        return {"retired": retire_generations(spark, bronze)}
     if asked.action == "update":
         return described(update(spark, steps))
     if asked.action == "full-refresh":

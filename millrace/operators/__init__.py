@@ -5,6 +5,7 @@ from .ledger import (
     LEDGER_SCHEMA,
     NO_APPROVER,
     append_attempt,
+    blocked_keys,
     current_outcomes,
     tampered,
     with_approver_default,
@@ -33,6 +34,7 @@ from .requests import (
     blocks,
     refresh_decision,
     refresh_eligible,
+    refresh_unblocked,
     release_tags,
     requested_refreshes,
 )
@@ -59,6 +61,7 @@ __all__ = [
     "conform",
     "contract",
     "contract_violations",
+    "blocked_keys",
     "current_outcomes",
     "expect_and_count",
     "expect_or_drop",
@@ -66,6 +69,7 @@ __all__ = [
     "null_count",
     "refresh_decision",
     "refresh_eligible",
+    "refresh_unblocked",
     "release_tags",
     "requested_refreshes",
     "require_contract",

@@ -48,13 +48,31 @@ def tampered(ledger: DataFrame) -> DataFrame:
 def current_outcomes(ledger: DataFrame) -> DataFrame:
     """The outcome on the latest row of every attempt.
 
-    Should two rows claim to be the latest, the one that blocks wins.
+    Should two rows claim to be the latest, the one that blocks wins. A row without a
+    position could be the latest one, so its attempt has no known outcome: NULL, which blocks.
     """
     latest = F.max(F.struct("seq", blocks(F.col("outcome")).alias("blocking"), "outcome"))
     return (
         ledger.groupBy("attempt_id", *REFRESH_KEY)
-        .agg(latest.alias("latest"))
-        .select("attempt_id", *REFRESH_KEY, "latest.outcome")
+        .agg(latest.alias("latest"), F.count_if(F.col("seq").isNull()).alias("unplaced"))
+        .select("attempt_id", *REFRESH_KEY, F.when(F.col("unplaced") == 0, F.col("latest.outcome")).alias("outcome"))
+    )
+
+
+def blocked_keys(ledger: DataFrame) -> DataFrame:
+    """The (pipeline, release) pairs that the current outcome of some attempt blocks.
+
+    The same rules as in ``current_outcomes``. Position and blocking fit one number, whose
+    maximum is aggregated by hash; text in the buffer would need sorting.
+    """
+    blocking = blocks(F.col("outcome")).cast("long")
+    latest = F.max(2 * F.col("seq").cast("long") + blocking)
+    return (
+        ledger.groupBy("attempt_id", *REFRESH_KEY)
+        .agg(latest.alias("latest"), F.count_if(F.col("seq").isNull()).alias("unplaced"))
+        .filter((F.col("unplaced") > 0) | (F.pmod(F.col("latest"), F.lit(2)) == 1))
+        .select(*REFRESH_KEY)
+        .distinct()
     )
 
 

@@ -75,5 +75,10 @@ def refresh_eligible(requests: DataFrame, current: DataFrame) -> DataFrame:
     request without a pipeline or release names nothing to run and is left out.
     """
     blocked = current.filter(blocks(F.col("outcome"))).select(*REFRESH_KEY).distinct()
+    return refresh_unblocked(requests, blocked)
+
+
+def refresh_unblocked(requests: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Requested pairs that are not among the blocked ones."""
     asked = requests.select(*REFRESH_KEY).dropna().distinct()
     return asked.join(blocked, REFRESH_KEY, "left_anti")

@@ -1,6 +1,6 @@
 from .generations import Generation, current_generation, new_generation, retire_generations, show
 from .governed import BLOCKED, AmbiguousRequest, LedgerTampered, governed_refresh
-from .pipelines import Step, Update, full_refresh, orders_pipeline, recompute, update
+from .pipelines import NotUpdatable, Step, Update, full_refresh, orders_pipeline, recompute, update
 from .targets import create_layers, database, target
 
 __all__ = [
@@ -8,6 +8,7 @@ __all__ = [
     "AmbiguousRequest",
     "Generation",
     "LedgerTampered",
+    "NotUpdatable",
     "Step",
     "Update",
     "create_layers",

@@ -98,6 +98,27 @@ def _columns(spark: SparkSession, table: str) -> list[tuple[str, str]]:
     return [(column.name, column.dataType) for column in spark.catalog.listColumns(table)]
 
 
+def _replace_entry(spark: SparkSession, table: str, path: str, schema: StructType, exists: bool) -> None:
+    """A new catalog entry for other columns, made under another name first.
+
+    Renaming changes only the catalog. The old entry goes when the new one has its name,
+    and comes back if it cannot have it; tables are external, so files stay.
+    """
+    if not exists:
+        spark.catalog.createTable(table, path=path, source="parquet", schema=schema)
+        return
+    mark = uuid4().hex[:12]
+    ready, old = f"{table}_new_{mark}", f"{table}_old_{mark}"
+    spark.catalog.createTable(ready, path=path, source="parquet", schema=schema)
+    spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {ready} RENAME TO {table}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
+        raise
+    spark.sql(f"DROP TABLE {old}")
+
+
 def show(
     spark: SparkSession, table: str, generation: Generation, schema: StructType, comment: str
 ) -> None:
@@ -109,9 +130,7 @@ def show(
     shown = current_generation(spark, table)
     expected = [(field.name, field.dataType.simpleString()) for field in schema]
     if shown is None or _columns(spark, table) != expected:
-        # An external table: dropping the entry leaves every generation's files.
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        spark.catalog.createTable(table, path=path, source="parquet", schema=schema)
+        _replace_entry(spark, table, path, schema, shown is not None)
     elif shown == generation:
         spark.catalog.refreshTable(table)
     else:

@@ -17,9 +17,9 @@ from ..operators import (
     SKIP,
     TRIGGERING,
     append_attempt,
-    current_outcomes,
+    blocked_keys,
     refresh_decision,
-    refresh_eligible,
+    refresh_unblocked,
     release_tags,
     tampered,
 )
@@ -34,7 +34,7 @@ class AmbiguousRequest(Exception):
 
 
 class LedgerTampered(Exception):
-    """Records of this pipeline and release were altered, so what ran is undecidable."""
+    """Records of the ledger were altered, so what ran is undecidable."""
 
 
 def governed_refresh(
@@ -66,12 +66,15 @@ def governed_refresh(
     if request["pipeline_key"] is None:
         raise ValueError(f"the refresh request for tag {tag} names no pipeline")
     if spark.catalog.tableExists(ledger):
-        record = scan(spark, ledger, fresh=True).filter(
+        # All of it is checked: a row whose key was altered is no longer found by its key.
+        record = scan(spark, ledger, fresh=True)
+        altered = tampered(record).select("attempt_id", "seq").take(1)
+        if altered:
+            raise LedgerTampered(f"{ledger}, for one at {tuple(altered[0])}")
+        record = record.filter(
             (F.col("release_version") == tag) & (F.col("pipeline_key") == request["pipeline_key"])
         )
-        if not tampered(record).isEmpty():
-            raise LedgerTampered(f"{request['pipeline_key']} at {tag}")
-        if refresh_eligible(asked, current_outcomes(record)).isEmpty():
+        if refresh_unblocked(asked, blocked_keys(record)).isEmpty():
             return BLOCKED
 
     attempt = uuid4().hex

@@ -6,23 +6,29 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
 from ..operators import (
     VALID_ORDER_ID,
     Expectation,
     contract,
     expect_and_count,
+    expectation_counts,
     require_contract,
     transform_orders,
 )
-from ..session import require_strict_casts
+from ..session import require_settings
 from ..sources import scan, scan_new_files
-from ..streaming import Counts, append_available
+from ..streaming import Counts, UncountedBatches, append_available
 from .generations import Generation, current_generation, new_generation, show
 
 Read = Callable[[str], DataFrame]
 
 
+class NotUpdatable(Exception):
+    """The table shown cannot be brought up to date, only replaced."""
+
+
 @dataclass(frozen=True)
 class Step:
     """One table of a pipeline and the rows it holds.
@@ -60,26 +66,35 @@ def orders_pipeline(rows: Callable[[], DataFrame], raw: str, bronze: str) -> tup
 
 def _require_ready(spark: SparkSession, steps: Sequence[Step]) -> None:
     """Refuse what would only fail, or do harm, after all the work was done."""
-    require_strict_casts(spark)
+    require_settings(spark)
     for step in steps:
         current_generation(spark, step.table)
 
 
 def recompute(spark: SparkSession, steps: Sequence[Step]) -> Update:
-    """Batch update: write every table anew, each shown as soon as it is complete.
+    """Batch update: write every table anew and show them when all are complete.
 
-    The counts come from the writing jobs themselves, so nothing is read twice.
+    Steps read earlier tables of the same run. A step that fails leaves every table
+    as it was. The counts come from the writing jobs themselves.
     """
     _require_ready(spark, steps)
     generation = new_generation(spark, steps[-1].table, streamed=False)
-    counts = {}
+    counts, schemas = {}, {}
+
+    def read(table: str) -> DataFrame:
+        if table not in schemas:  # not of this run, so as it is shown
+            return scan(spark, table)
+        return spark.read.schema(schemas[table]).parquet(generation.data(table))
+
     for step in steps:
-        rows = step.build(lambda table: scan(spark, table))
+        rows = step.build(read)
+        schemas[step.table] = rows.schema
         observed = Observation()
         counted = expect_and_count(rows, observed, step.expectations)
         counted.write.parquet(generation.data(step.table))
-        show(spark, step.table, generation, rows.schema, step.comment)
         counts[step.table] = Counts.of(observed.get)
+    for step in steps:
+        show(spark, step.table, generation, schemas[step.table], step.comment)
     return Update(generation.id, counts)
 
 
@@ -103,7 +118,11 @@ def _append_to(
         rows = step.build(read)
         schemas[step.table] = rows.schema
         counts[step.table] = append_available(
-            rows, generation.data(step.table), generation.checkpoint(step.table), step.expectations
+            rows,
+            generation.data(step.table),
+            generation.checkpoint(step.table),
+            step.expectations,
+            lambda step=step: _all_counts(spark, step, generation, schemas),
         )
         if shown:
             show(spark, step.table, generation, rows.schema, step.comment)
@@ -113,16 +132,35 @@ def _append_to(
     return Update(generation.id, counts)
 
 
+def _all_counts(
+    spark: SparkSession, step: Step, generation: Generation, schemas: Mapping[str, StructType]
+) -> Counts:
+    """Counts of everything a table of a streamed generation was ever offered, from the tables themselves."""
+
+    def read(table: str) -> DataFrame:
+        return spark.read.schema(schemas[table]).parquet(generation.data(table))
+
+    if not step.expectations:
+        return Counts(read(step.table).count())
+    rows = step.build(read)
+    if rows.isStreaming:
+        raise UncountedBatches(f"{step.table} drops rows of a source that cannot be read again")
+    return Counts.of(expectation_counts(rows, *step.expectations).first().asDict())
+
+
 def update(spark: SparkSession, steps: Sequence[Step]) -> Update:
     """Incremental update: clean and append only input that has arrived since the last one.
 
     The last table is shown last, so its generation is the pipeline's. Earlier
     tables are pointed at the same one, should a refresh have stopped in between.
-    Tables that a batch wrote have no checkpoint to go on from and are refreshed.
+    Tables that a batch wrote have no checkpoint to go on from. Replacing them has to
+    be asked for, so that is an error; only a pipeline without a table starts by itself.
     """
     generation = current_generation(spark, steps[-1].table)
-    if generation is None or not generation.streamed:
+    if generation is None:
         return full_refresh(spark, steps)
+    if not generation.streamed:
+        raise NotUpdatable(f"{steps[-1].table} was written by a batch; full_refresh replaces it")
     return _append_to(spark, steps, generation, shown=True)
 
 

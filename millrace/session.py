@@ -24,10 +24,13 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def require_strict_casts(spark: SparkSession) -> None:
-    """Refuse a session in which unreadable timestamps would silently become NULL."""
-    if spark.conf.get("spark.sql.ansi.enabled") != "true":
+def require_settings(spark: SparkSession) -> None:
+    """Refuse a session in which timestamps would silently become NULL or shift."""
+    if spark.conf.get("spark.sql.ansi.enabled").lower() != "true":
         raise ValueError("spark.sql.ansi.enabled must be true; strict casts depend on it")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone.upper() not in ("UTC", "ETC/UTC", "Z", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone must be UTC, not {zone}; times without a zone depend on it")
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -38,8 +41,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     executors' disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
+    if not local and (not base or base.startswith("file:")):
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share, which no file: path is")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         base = tempfile.mkdtemp(prefix="millrace-")
     return f"{base.rstrip('/')}/millrace/{purpose}-{uuid4().hex}"

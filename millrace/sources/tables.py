@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The file stream skips files whose modification time lies further back than
-# this from the newest one. A copy that keeps its old time must still be read.
-NEVER_TOO_OLD = "36500d"
+# The file stream skips files whose modification time lies further back than this
+# from the newest one. No two modification times are 270 million years apart, so
+# neither an old time nor one far in the future hides another file.
+NEVER_TOO_OLD = "100000000000d"
 
 # About eight rounds of 128 MB splits on a thousand executors: large enough to
 # fill the cluster, small enough that a failed batch repeats little work.

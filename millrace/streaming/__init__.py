@@ -1,3 +1,3 @@
-from .updates import Counts, append_available
+from .updates import Counts, UncountedBatches, append_available
 
-__all__ = ["Counts", "append_available"]
+__all__ = ["Counts", "UncountedBatches", "append_available"]

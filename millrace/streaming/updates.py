@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import Expectation, expect_and_count
 
 _METRICS = "row_counts"
-_RETAINED = "spark.sql.streaming.numRecentProgressUpdates"
-# One progress report per micro-batch is kept by the driver until it is summed.
-_REPORTS = 100_000
+_RECORD = "batch LONG, n_batches LONG, seen LONG, dropped LONG, failed MAP<STRING, LONG>"
 
 
 @dataclass(frozen=True)
@@ -29,38 +28,97 @@ class Counts:
         failed = {name: n for name, n in metrics.items() if name not in ("seen", "dropped")}
         return cls(metrics.get("seen", 0), metrics.get("dropped", 0), failed)
 
+    def __add__(self, other: Counts) -> Counts:
+        failed = {n: self.failed.get(n, 0) + other.failed.get(n, 0) for n in {**self.failed, **other.failed}}
+        return Counts(self.seen + other.seen, self.dropped + other.dropped, failed)
+
+    def __sub__(self, other: Counts) -> Counts:
+        failed = {n: m - other.failed.get(n, 0) for n, m in self.failed.items()}
+        return Counts(self.seen - other.seen, self.dropped - other.dropped, failed)
+
+
+class UncountedBatches(Exception):
+    """Batches were committed whose counts are not on record, and the rows cannot be counted again."""
+
 
 def append_available(
-    stream: DataFrame, path: str, checkpoint: str, expectations: Sequence[Expectation] = ()
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    expectations: Sequence[Expectation] = (),
+    recount: Callable[[], Counts] | None = None,
 ) -> Counts:
-    """Append what the stream has to offer now, then stop.
+    """Append what the stream has to offer now, then stop, and count it.
 
     Work is bounded per micro-batch by the source, and a batch that was cut off
     is repeated as a whole by the next run: the sink's log shows readers each
-    batch once. A run without new input reports no metrics, which counts as zero.
+    batch once. Counts are kept by batch in ``<checkpoint>-counts``, so a repeated
+    batch counts once. Batches that were committed but not put on record, because a
+    run was cut off in between or reported more than was kept, are found by their
+    number; ``recount`` then gives the counts of all batches so far, and what is
+    not on record is the difference. The result is what this call put on record:
+    over all calls each row counts once.
     """
     spark = stream.sparkSession
-    retained = spark.conf.get(_RETAINED)
-    # Read by the running query, so it stays raised until the query has ended.
-    spark.conf.set(_RETAINED, str(max(_REPORTS, int(retained))))
+    query = (
+        expect_and_count(stream, _METRICS, expectations)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    reported: dict[int, Counts] = {}
+
+    def collect_reports() -> None:
+        for progress in query.recentProgress:
+            if _METRICS in progress.observedMetrics:
+                reported[progress.batchId] = Counts.of(progress.observedMetrics[_METRICS].asDict())
+
     try:
-        query = (
-            expect_and_count(stream, _METRICS, expectations)
-            .writeStream.format("parquet")
-            .outputMode("append")
-            .option("path", path)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-        try:
-            query.awaitTermination()
-        finally:
-            query.stop()
+        while not query.awaitTermination(1):
+            collect_reports()
     finally:
-        spark.conf.set(_RETAINED, retained)
-    totals: Counter[str] = Counter()
-    for progress in query.recentProgress:
-        if _METRICS in progress.observedMetrics:
-            totals.update(progress.observedMetrics[_METRICS].asDict())
-    return Counts.of(totals)
+        query.stop()
+    collect_reports()
+    return _put_on_record(spark, checkpoint, reported, recount)
+
+
+def _put_on_record(
+    spark: SparkSession,
+    checkpoint: str,
+    reported: Mapping[int, Counts],
+    recount: Callable[[], Counts] | None,
+) -> Counts:
+    folder = f"{checkpoint.rstrip('/')}-counts"
+    # The log of commits names its files by batch and keeps only the latest ones.
+    commits = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(f"{checkpoint}/commits").select("path")
+    last = commits.agg(F.max(F.regexp_extract("path", "([0-9]+)$", 1).try_cast("long"))).first()[0]
+    committed = 0 if last is None else last + 1
+    n_recorded, known, recorded = 0, set(), Counts()
+    try:
+        record = spark.read.schema(_RECORD).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        total = record.agg(F.sum("n_batches").alias("n"), F.sum("seen").alias("seen"), F.sum("dropped").alias("dropped")).first()
+        failed = record.select(F.explode("failed").alias("name", "n")).groupBy("name").agg(F.sum("n").alias("n")).collect()
+        n_recorded = total.n or 0
+        recorded = Counts(total.seen or 0, total.dropped or 0, {r["name"]: r["n"] for r in failed})
+        if reported:
+            known = {r.batch for r in record.filter(F.col("batch") >= min(reported)).select("batch").collect()}
+    new = {batch: counts for batch, counts in reported.items() if batch not in known}
+    rows = [(batch, 1, c.seen, c.dropped, dict(c.failed)) for batch, c in sorted(new.items())]
+    added = sum(new.values(), Counts())
+    missing = committed - n_recorded - len(new)
+    if missing > 0:
+        if recount is None:
+            raise UncountedBatches(f"{missing} batches of {checkpoint}")
+        gap = recount() - recorded - added
+        rows.append((-committed, missing, gap.seen, gap.dropped, dict(gap.failed)))
+        added += gap
+    if rows:
+        spark.createDataFrame(rows, _RECORD).coalesce(1).write.mode("append").parquet(folder)
+    return added

@@ -19,8 +19,14 @@ def raw(spark, *rows, schema=RAW):
 
 def test_columns_get_the_declared_types(spark):
     cleaned = transform_orders(raw(spark, ("a1", "k1", "3.25", "2025-03-04 05:06:07")))
-    assert dict(cleaned.dtypes) == contract()
-    assert dict(cleaned.dtypes)["amount"] == "decimal(18,2)"
+    written_out = {
+        "order_id": "string",
+        "customer_id": "string",
+        "amount": "decimal(18,2)",
+        "order_ts": "timestamp",
+        "_processed_at": "timestamp",
+    }
+    assert dict(cleaned.dtypes) == contract() == written_out
     assert [f.name for f in cleaned.schema if not f.nullable] == [PROCESSED_AT]
 
 

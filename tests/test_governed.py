@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from millrace.operators import LEDGER_SCHEMA, NO_APPROVER, append_attempt, current_outcomes, tampered
+from millrace.operators import LEDGER_FIELDS, LEDGER_SCHEMA, NO_APPROVER, append_attempt, blocked_keys, current_outcomes, tampered
 from millrace.plans import (
     AmbiguousRequest,
     LedgerTampered,
@@ -53,7 +53,7 @@ def run(spark, tag, requests, ledger, refresher, **kwargs):
 
 
 def outcomes(spark, ledger):
-    return sorted(r["outcome"] for r in current_outcomes(scan(spark, ledger, fresh=True)).collect())
+    return sorted((r["outcome"] for r in current_outcomes(scan(spark, ledger, fresh=True)).collect()), key=str)
 
 
 def test_no_request_means_nothing_happens(spark, requests, ledger):
@@ -133,6 +133,39 @@ def test_altered_records_stop_the_run(spark, requests, ledger):
     assert refresher.calls == 1
 
 
+@pytest.mark.parametrize("field", LEDGER_FIELDS)
+def test_altering_any_field_of_both_rows_stops_the_run(spark, requests, ledger, field):
+    refresher = Refresher("u1", "u2")
+    assert run(spark, "1.0.1", requests, ledger, refresher) == "COMPLETED"
+    other = "CAST(coalesce(seq, 0) + 5 AS INT)" if field == "seq" else f"concat(coalesce({field}, ''), '9')"
+    scan(spark, ledger, fresh=True).selectExpr(f"* EXCEPT ({field})", f"{other} AS {field}").write.saveAsTable(f"{ledger}_edited")
+    with pytest.raises(LedgerTampered):
+        run(spark, "1.0.1", requests, f"{ledger}_edited", refresher)
+    assert refresher.calls == 1
+
+
+def test_a_row_without_a_position_blocks(spark, requests, ledger):
+    common = ("orders_pipeline", "1.0.1", "r", "tess", None, None, None)
+    rows = [("a", None, *common, "COMPLETED"), ("a", 1, *common, "FAILED")]
+    append_attempt(spark.createDataFrame(rows, LEDGER_SCHEMA), ledger)
+    assert outcomes(spark, ledger) == [None]
+    assert blocked_keys(scan(spark, ledger)).count() == 1
+    assert run(spark, "1.0.1", requests, ledger, Refresher("u1")) == "BLOCKED"
+
+
+def test_blocked_keys_agree_with_current_outcomes(spark):
+    rows = [
+        (f"a{n}", seq, f"p{n % 40}", "1.0.0", None, None, None, None, None, ["FAILED", "COMPLETED", None, "OUTCOME UNKNOWN", "?"][(n * 7 + seq) % 5])
+        for n in range(200) for seq in range(1 + n % 3)
+    ]
+    ledger = spark.createDataFrame(rows, LEDGER_SCHEMA)
+    current = current_outcomes(ledger)
+    expected = current.filter("NOT coalesce(outcome IN ('FAILED', 'OUTCOME UNKNOWN'), false)").select("pipeline_key").distinct()
+    assert sorted(r[0] for r in blocked_keys(ledger).select("pipeline_key").collect()) == sorted(r[0] for r in expected.collect())
+    plan = blocked_keys(ledger)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHash" not in plan
+
+
 def test_release_of_the_orders_pipeline(spark, requests, ledger, database, tmp_path):
     landing = tmp_path / "orders"
     landing.mkdir()

@@ -52,3 +52,18 @@ def test_what_is_missing_is_an_error(spark, tmp_path):
         main(["update", "--env", "tst", "--root", str(tmp_path)])
     with pytest.raises(SystemExit):
         main(["release", "--env", "tst", "--tag", "1.0.1"])
+    with pytest.raises(SystemExit):
+        main(["full-refresh", "--env", "prd", "--source-path", str(tmp_path)])
+
+
+def test_superseded_generations_are_retired_when_asked(spark, landing, tmp_path):
+    common = ["--env", "dev", "--user", "retire", "--root", str(tmp_path), "--source-path", str(landing)]
+    land(landing, "a.json", 1)
+    try:
+        first = main(["update", *common])["generation"]
+        second = main(["full-refresh", *common])["generation"]
+        third = main(["full-refresh", *common])["generation"]
+        assert main(["retire", *common]) == {"retired": [first]}
+        assert main(["update", *common])["generation"] == third != second
+    finally:
+        spark.conf.unset("source_path")

@@ -182,3 +182,11 @@ def test_rows_of_an_uncommitted_batch_stay_invisible(spark, landing, steps):
     (data / "part-leftover.parquet").write_bytes(written.read_bytes())
     spark.catalog.refreshTable(steps[1].table)
     assert ids(spark, steps) == ["1"]
+
+
+def test_a_file_dated_far_in_the_future_hides_no_later_one(spark, landing, steps):
+    land(landing, "future.json", order(1), age_days=-84_000)
+    update(spark, steps)
+    land(landing, "normal.json", order(2))
+    assert update(spark, steps).counts[steps[1].table].seen == 1
+    assert ids(spark, steps) == ["1", "2"]

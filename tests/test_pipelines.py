@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import require_same_rows
 from millrace.plans import (
+    NotUpdatable,
     Step,
     create_layers,
     current_generation,
@@ -22,7 +23,7 @@ from millrace.plans import (
     update,
 )
 from millrace.sources import landing_stream, orders_raw, scan
-from millrace.streaming import Counts
+from millrace.streaming import Counts, updates
 
 RAW = "order_id STRING, customer_id STRING, amount STRING, order_ts STRING"
 
@@ -276,17 +277,95 @@ def test_a_batch_cut_off_before_its_commit_is_taken_once(spark, landing, tables,
     assert spark.table(tables[1]).count() == 32
 
 
-def test_an_update_after_a_recompute_starts_over(spark, landing, tables):
+def test_an_update_after_a_recompute_has_to_be_a_refresh_that_was_asked_for(spark, landing, tables):
     land(landing, "a.json", 0)
     batch = orders_pipeline(lambda: spark.read.schema(RAW).json(str(landing)), *tables)
-    recomputed = recompute(spark, batch)
+    recompute(spark, batch)
     land(landing, "b.json", 100)
-    updated = update(spark, streamed(spark, landing, tables))
-    assert updated.generation != recomputed.generation
-    assert updated.counts[tables[1]].seen == 40
-    assert spark.table(tables[1]).count() == 32
-    assert recompute(spark, batch).counts == updated.counts
+    with pytest.raises(NotUpdatable, match="full_refresh"):
+        update(spark, streamed(spark, landing, tables))
+    assert spark.table(tables[1]).count() == 16
+    refreshed = full_refresh(spark, streamed(spark, landing, tables))
+    assert refreshed.counts[tables[1]].seen == 40
     assert spark.table(tables[1]).count() == 32
+    assert recompute(spark, batch).counts == refreshed.counts
+
+
+def test_a_recompute_that_fails_half_way_leaves_all_tables(spark, landing, tables):
+    land(landing, "a.json", 0)
+    good = orders_pipeline(lambda: spark.read.schema(RAW).json(str(landing)), *tables)
+    recompute(spark, good)
+    land(landing, "b.json", 100)
+    bad = (good[0], Step(tables[1], lambda read: read(tables[0]).selectExpr("cast('x' AS INT) AS order_id")))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        recompute(spark, bad)
+    assert spark.table(tables[0]).count() == 20
+    assert spark.table(tables[1]).count() == 16
+
+
+def test_an_entry_that_cannot_be_made_leaves_the_old_one(spark, landing, tables, monkeypatch):
+    land(landing, "a.json", 0)
+    recompute(spark, orders_pipeline(lambda: spark.read.schema(RAW).json(str(landing)), *tables))
+    wider = Step(tables[1], lambda read: spark.range(3))
+
+    def refuse(*args, **kwargs):
+        raise RuntimeError("no room")
+
+    monkeypatch.setattr(type(spark.catalog), "createTable", refuse)
+    with pytest.raises(RuntimeError, match="no room"):
+        recompute(spark, [wider])
+    monkeypatch.undo()
+    assert spark.table(tables[1]).count() == 16
+    recompute(spark, [wider])
+    assert spark.table(tables[1]).columns == ["id"] and spark.table(tables[1]).count() == 3
+    names = {t.name for t in spark.catalog.listTables(tables[1].partition(".")[0])}
+    assert names == {"orders_raw", "orders_bronze"}
+
+
+@pytest.mark.parametrize("run", [update, full_refresh, recompute])
+def test_sessions_in_another_zone_are_refused_before_any_work(spark, landing, tables, run):
+    land(landing, "a.json", 0)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError, match="spark.sql.session.timeZone"):
+            run(spark, streamed(spark, landing, tables))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert not spark.catalog.tableExists(tables[0])
+
+
+def test_more_batches_than_reports_are_all_counted(spark, landing, tables):
+    for n in range(6):
+        land(landing, f"{n}.json", 100 * n)
+    steps = orders_pipeline(lambda: landing_stream(spark, str(landing), batch_bytes=1), *tables)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        counts = update(spark, steps).counts
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert (counts[tables[0]].seen, counts[tables[0]].dropped) == (120, 0)
+    assert (counts[tables[1]].seen, counts[tables[1]].dropped) == (120, 24)
+
+
+def test_batches_of_a_run_that_ended_before_recording_them_are_counted_by_the_next(spark, landing, tables, monkeypatch):
+    steps = streamed(spark, landing, tables)
+    land(landing, "a.json", 0)
+    update(spark, steps)
+    land(landing, "b.json", 100)
+
+    def cut_off(*args):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(updates, "_put_on_record", cut_off)
+    with pytest.raises(KeyboardInterrupt):
+        update(spark, steps)
+    monkeypatch.undo()
+    # The raw table has both files by now; its second batch is on no record yet.
+    later = update(spark, steps).counts
+    assert (later[tables[0]].seen, later[tables[1]].seen, later[tables[1]].dropped) == (20, 20, 4)
+    assert later[tables[1]].failed == {"valid_order_id": 4}
+    idle = update(spark, steps).counts
+    assert (idle[tables[0]].seen, idle[tables[1]].seen) == (0, 0)
 
 
 def test_a_reader_at_work_keeps_the_rows_it_started_with(spark, landing, tables):
