@@ -22,32 +22,41 @@ from .storage import materialise
 
 #: Fixed value: what separates words, once letters are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, -1), "")
 
 
 def word_hashes(text: Column) -> Column:
     """A hash of each word of a text, in order."""
-    words = F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, -1), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(_words(text), lambda w: F.xxhash64(w))
+
+
+def _run_at(hashes: Column, i: Column, n: int) -> Column:
+    return F.xxhash64(*(F.get(hashes, i + j) for j in range(n)))
+
+
+def _full(runs: Column, of: Column, n: int) -> Column:
+    """Without the last n - 1, which would reach beyond the end."""
+    return F.when(F.size(of) >= n, F.slice(runs, F.lit(1), F.size(of) - (n - 1))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _runs(hashes: Column, n: int) -> Column:
     """The hash of each run of n elements. ``hashes`` must be a column or a lambda's variable."""
-    starts = F.sequence(F.lit(1), F.size(hashes) - (n - 1))
-    runs = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, F.lit(n))))
-    return F.when(F.size(hashes) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+    return _full(F.transform(hashes, lambda _, i: _run_at(hashes, i, n)), hashes, n)
 
 
 def _fingerprints(hashes: Column, length: int, k: int) -> Column:
     """The winnowed k-gram hashes of a document, each once."""
     window = length - k + 1
-
-    def least(grams: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(grams) - (window - 1))
-        chosen = F.transform(starts, lambda i: F.array_min(F.slice(grams, i, F.lit(window))))
-        return F.when(F.size(grams) >= window, F.array_distinct(chosen))
-
-    return let(_runs(hashes, k), least)
+    if window == 1:
+        return F.array_distinct(_runs(hashes, k))
+    least = lambda grams, i: F.least(*(F.get(grams, i + j) for j in range(window)))
+    return let(
+        _runs(hashes, k),
+        lambda grams: F.array_distinct(_full(F.transform(grams, lambda _, i: least(grams, i)), grams, window)),
+    )
 
 
 def contaminated(
@@ -73,7 +82,7 @@ def contaminated(
     lengths = sorted(r.n for r in lengths.collect())  # at most ``window`` numbers
     docs = docs.select(F.col(doc), F.col(text).alias("_text"), F.xxhash64(text).alias("text_hash"))
 
-    sized = docs.select(*key, F.coalesce(F.regexp_count(lower_ascii(F.col("_text")), F.lit(_WORD)), F.lit(0)).cast("bigint").alias("n_words"))
+    sized = docs.select(*key, F.size(_words(F.col("_text"))).cast("bigint").alias("n_words"))
     if not lengths:
         return sized.withColumns({"n_hit": F.lit(0).cast("bigint"), "items": F.array().cast("array<string>")})
 
@@ -135,7 +144,7 @@ def _around(w: Column, met: Column, lengths: list[int], gram: dict[int, int]) ->
         chosen = let(_runs(w, k), lambda grams: let(wanted, lambda found: F.when(F.size(grams) > 0, starts(grams, found))))
         each = F.transform(
             chosen,
-            lambda s: F.struct(F.lit(n).alias("n"), s.alias("start"), F.xxhash64(F.slice(w, s + 1, F.lit(n))).alias("hash")),
+            lambda s: F.struct(F.lit(n).alias("n"), s.alias("start"), _run_at(w, s, n).alias("hash")),
         )
         return F.coalesce(each, F.array().cast("array<struct<n:int,start:int,hash:bigint>>"))
 
