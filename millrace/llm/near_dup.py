@@ -91,8 +91,7 @@ def _signer(size: int, bands: int, rows: int):
         for i, shingles in enumerate(shingle_sets(texts, size)):
             n[i] = len(shingles)
             if n[i]:
-                a[i] = mix(shingles ^ _U64(0x1B873593CC9E2D51)).sum(dtype=np.uint64).view(np.int64)
-                b[i] = mix(shingles + _U64(0x38495AB5E6546B64)).sum(dtype=np.uint64).view(np.int64)
+                a[i], b[i] = _sums(shingles)
                 values = signature(shingles, bins, probes).reshape(bands, rows)
                 key = np.arange(bands, dtype=np.uint64)
                 for k in range(rows):
@@ -107,10 +106,19 @@ def _signer(size: int, bands: int, rows: int):
     return sign
 
 
+def _sums(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    first = mix(shingles ^ _U64(0x1B873593CC9E2D51)).sum(dtype=np.uint64)
+    second = mix(shingles + _U64(0x38495AB5E6546B64)).sum(dtype=np.uint64)
+    return int(first.view(np.int64)), int(second.view(np.int64))
+
+
 def _set_of(size: int):
     @F.arrow_udf("binary")
-    def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())
+    def shingles(texts: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        """The text's set, or null if it is not the one with these sums."""
+        wanted = zip(a.to_pylist(), b.to_pylist())
+        return pa.array([s.tobytes() if _sums(s) == w else None for s, w in zip(shingle_sets(texts, size), wanted)], pa.binary())
 
     return shingles
 
@@ -174,9 +182,8 @@ def _components_of(docs: DataFrame, classes: DataFrame, doc: str, text: str, shi
     # Full sets of the classes in question, from one document of each.
     asked = members.select("cls").distinct().join(classes.select("cls", "first_id", "a", "b"), "cls")
     texts = docs.select(F.col(doc).alias("_id"), F.col(text).alias("_text")).join(asked, F.col("_id").eqNullSafe(F.col("first_id")))
-    full = texts.select("cls", "a", "b", "_text", _set_of(shingle)(F.col("_text")).alias("shingles"))
-    full = full.where(_fingerprint_is(F.col("shingles"), F.col("a"), F.col("b")))
-    full = materialise(full.select("cls", "shingles").dropDuplicates(["cls"]), "near-sets")
+    full = texts.select("cls", _set_of(shingle)(F.col("_text"), F.col("a"), F.col("b")).alias("shingles"))
+    full = materialise(full.where("shingles IS NOT NULL").dropDuplicates(["cls"]), "near-sets")
     similar = _similar(percent)
     sizes = classes.select("cls", "n")
 
@@ -215,20 +222,6 @@ def _components_of(docs: DataFrame, classes: DataFrame, doc: str, text: str, shi
         active = active.where(F.col("m") > centres).select("key", "cls", "n")
 
 
-def _fingerprint_is(shingles: Column, a: Column, b: Column) -> Column:
-    @F.arrow_udf("boolean")
-    def equal(sets: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for s, x, y in zip(sets, a.to_pylist(), b.to_pylist()):
-            s = np.frombuffer(s.as_buffer(), np.uint64)
-            hi = mix(s ^ _U64(0x1B873593CC9E2D51)).sum(dtype=np.uint64).view(np.int64)
-            lo = mix(s + _U64(0x38495AB5E6546B64)).sum(dtype=np.uint64).view(np.int64)
-            out.append(bool(hi == x and lo == y))
-        return pa.array(out, pa.bool_())
-
-    return equal(shingles, a, b)
-
-
 def _between(links: DataFrame, components: DataFrame) -> DataFrame:
     """Links between nodes as links between their components."""
     for end in ("x", "y"):

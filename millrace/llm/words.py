@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Work is cut into pieces of about this many bytes (whole texts), which bounds memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _U64 = np.uint64
 _BASE = _U64(0x9E3779B97F4A7C15 | 1)

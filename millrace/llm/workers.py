@@ -14,7 +14,7 @@ _ARCHIVE = "millrace-package.zip"
 #: Bounds on what a Python worker is handed at once, whatever the length of texts.
 BATCHES = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
