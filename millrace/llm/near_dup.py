@@ -9,10 +9,9 @@ in one of ten.
 
 In a bucket everything is compared with one centre, not with everything, so there are
 never more candidates than members. Candidates are confirmed on full sets and linked.
-A bucket whose members are then not all connected is looked at again with 16 centres, then 256,
-and so on, only across components and only at sizes that can reach the similarity,
-until it is connected or every member has been a centre: no link of a bucket is given
-up, and large groups of copies are done after the first star.
+Members of buckets that are then not all connected are looked at again, by an exact filter on
+their rarest shingles: no link of a bucket is given up, and large groups of copies are
+done after the first star.
 
 Documents with equal sets are one node from the start, however many they are.
 """
@@ -29,8 +28,6 @@ from .words import SPACES, byte_table, grams, mix, pieces, words
 
 BANDS = 40
 ROWS = 5
-#: Centres of an unsettled bucket grow by this factor from round to round.
-GROWTH = 16
 
 _TABLE = byte_table(SPACES, lower=True)
 _U64 = np.uint64
@@ -176,8 +173,12 @@ def near_duplicates(
 def _components_of(docs: DataFrame, classes: DataFrame, doc: str, text: str, shingle: int, percent: int) -> DataFrame:
     """``cls`` and ``comp`` for the classes that have a link."""
     entries = classes.select("cls", "n", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("centre")).where("m > 1")
+    buckets = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = materialise(entries.join(buckets, "key"), "near-members")
+    # The centre is the member that meets the most others in all its buckets: of a text and its
+    # copies that is the text, to which all are nearer than to each other.
+    met = members.groupBy("cls").agg(F.sum("m").alias("met"))
+    centres = members.join(met, "cls").groupBy("key").agg(F.max(F.struct("met", "cls")).alias("c")).select("key", F.col("c.cls").alias("centre"))
 
     # Full sets of the classes in question, from one document of each.
     asked = members.select("cls").distinct().join(classes.select("cls", "first_id", "a", "b"), "cls")
@@ -193,33 +194,60 @@ def _components_of(docs: DataFrame, classes: DataFrame, doc: str, text: str, shi
         return materialise(pairs.join(left, "x").join(right, "y").where(similar("sx", "sy")).select("x", "y"), "near-links")
 
     # First stars: every member with the bucket's centre.
-    stars = members.where("cls <> centre").select(F.col("centre").alias("x"), F.col("cls").alias("y"), F.col("n").alias("ny")).distinct()
+    stars = members.join(centres, "key").where("cls <> centre").select(F.col("centre").alias("x"), F.col("cls").alias("y"), F.col("n").alias("ny")).distinct()
     stars = stars.join(sizes.select(F.col("cls").alias("x"), F.col("n").alias("nx")), "x").where(_size_fits("nx", "ny", percent))
-    tested = materialise(stars.select("x", "y"), "near-pairs")
+    tested = materialise(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near-pairs")
     components = connected(confirmed(tested))
 
-    active, centres = members.where("m > 2").select("key", "cls", "n"), 1
-    while True:
-        centres *= GROWTH
-        named = active.join(components, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        named = materialise(named, "near-active")
-        open_ = named.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        active = materialise(named.join(open_.select("key", "m"), "key"), "near-open")
-        if active.isEmpty():
-            return components
-        # About ``centres`` members of each bucket, by hash; all of them in a bucket of no more.
-        share = F.pmod(F.xxhash64("cls", F.lit(centres)), F.lit(1 << 30)).cast("double") / (1 << 30)
-        chosen = active.where((F.col("m") <= centres) | (share * F.col("m") < centres))
-        chosen = chosen.select("key", F.col("cls").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"))
-        across = active.join(chosen, "key").where((F.col("comp") != F.col("ccomp")) & _size_fits("n", "cn", percent))
-        pairs = across.select(F.least("cls", "c").alias("x"), F.greatest("cls", "c").alias("y")).distinct()
-        pairs = materialise(pairs.join(tested, ["x", "y"], "left_anti"), "near-pairs")
-        if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
-            links = confirmed(pairs)
-            if not links.isEmpty():
-                components = merged(components, connected(_between(links, components)))
-        active = active.where(F.col("m") > centres).select("key", "cls", "n")
+    # Buckets that the stars have not connected, where two members were not compared.
+    rest = members.where("m > 2").select("key", "cls", "n").join(components, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    rest = materialise(rest, "near-rest")
+    apart = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    nodes = materialise(rest.join(apart, "key").select("cls", "n", "comp").distinct(), "near-apart")
+    if nodes.isEmpty():
+        return components
+    pairs = materialise(_across(nodes, full, percent).join(tested, ["x", "y"], "left_anti"), "near-pairs")
+    links = confirmed(pairs)
+    if links.isEmpty():
+        return components
+    return merged(components, connected(_between(links, components)))
+
+
+def _longs():
+    @F.arrow_udf("array<bigint>")
+    def longs(sets: pa.Array) -> pa.Array:
+        parts = [np.frombuffer(s.as_buffer(), np.int64) for s in sets]
+        ends = np.cumsum([0, *map(len, parts)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
+
+    return longs
+
+
+def _across(nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """All pairs (x < y) of different components that can reach the similarity, and few others.
+
+    Shingles are put in order of rarity among the nodes. Two sets that are similar enough have their first
+    common shingle early in both: at least as many must follow it, in either, as they have to
+    share. So only the rarest shingles of each set are joined, with sets of the sizes for which their place is
+    early enough. A copy with too many words of its own has those first, shared with nobody.
+    """
+    tokens = nodes.join(full, "cls").select("cls", "n", "comp", F.explode(_longs()(F.col("shingles"))).alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    sets = tokens.join(often, "token").groupBy("cls", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    alone = F.col("n") - F.size("t")
+    early = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    at = sets.select("cls", "n", "comp", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), F.greatest(early, F.lit(0)).cast("int"))))
+    at = at.select("cls", "n", "comp", "col.token", (F.col("n") - F.col("alone") - F.col("pos")).alias("left"))
+    band = lambda size: F.floor(F.ln(size) * 20).cast("int")  # noqa: E731  sizes within five per cent
+    low = F.ceil(F.col("n") * percent / 100)
+    high = F.least(F.floor(F.col("n") * 100 / percent), F.floor((100 + percent) * F.col("left") / percent) - F.col("n"))
+    ours = at.where(high >= low).select("*", F.explode(F.sequence(band(low), band(high))).alias("band"))
+    theirs = at.select(
+        F.col("cls").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"), "token", F.col("left").alias("cleft"), band(F.col("n")).alias("band")
+    )
+    enough = (100 + percent) * F.least("left", "cleft") >= percent * (F.col("n") + F.col("cn"))
+    met = ours.join(theirs, ["token", "band"]).where((F.col("comp") != F.col("ccomp")) & _size_fits("n", "cn", percent) & enough)
+    return met.select(F.least("cls", "c").alias("x"), F.greatest("cls", "c").alias("y")).distinct()
 
 
 def _between(links: DataFrame, components: DataFrame) -> DataFrame:
