@@ -32,8 +32,12 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many documents of their source share. ``n_chars`` follows the text."""
-    cleaned = drop_boilerplate(docs)
+    """All documents, without the lines that many documents of their source share. ``n_chars`` follows the text.
+
+    Exact copies count as one document, and a document of shared lines only stays whole for near-dedup, so
+    that of a group of copies one keeps its text, however large the group is.
+    """
+    cleaned = drop_boilerplate(docs, copies_once=True, keep_emptied=True)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

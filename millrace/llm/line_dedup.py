@@ -25,18 +25,21 @@ def line_key(line: Column) -> Column:
 
 def boilerplate(
     pages: DataFrame, *, site: str | Column = "source", text: str | Column = "text",
-    max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+    max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False,
 ) -> DataFrame:
     """The boilerplate lines: site, ``line`` (a hash), ``n_pages`` with it and ``site_pages`` in all.
 
     A page counts once however often it repeats a line; repeated rows are pages of their
-    own. Blank lines and pages without a site are left out. Counts are summed before
+    own, or with ``copies_once`` all rows of one site and text (by its hash) are one page. Blank lines and pages without a site are left out. Counts are summed before
     the shuffle, so a site with a third of all pages, or a line on all of them, is
     a few rows per task.
     """
     site = F.col(site) if isinstance(site, str) else site
     text = F.col(text) if isinstance(text, str) else text
     pages = pages.select(site.alias("site"), text.alias("text")).where(F.col("site").isNotNull())
+    if copies_once:
+        # Copies are merged in each task before the shuffle, so a large group of them is a few rows.
+        pages = pages.groupBy("site", F.xxhash64("text")).agg(F.first("text").alias("text"))
     totals = pages.groupBy("site").agg(F.count("*").alias("site_pages"))
     keys = F.array_distinct(F.transform(_visible(F.split("text", "\n", -1)), line_key))
     lines = pages.select("site", F.explode(keys).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n_pages"))
@@ -52,6 +55,7 @@ def _visible(lines: Column) -> Column:
 def drop_boilerplate(
     pages: DataFrame, *, site: str = "source", text: str = "text",
     max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, dropped: str | None = None,
+    copies_once: bool = False, keep_emptied: bool = False,
 ) -> DataFrame:
     """The pages without their site's boilerplate lines; ``dropped`` names a column for how many went.
 
@@ -59,18 +63,24 @@ def drop_boilerplate(
     null, and a page without a site stays as it is. Other columns are not touched; one
     with the name of ``dropped`` is replaced.
 
+    ``copies_once`` counts pages of one site and text as one. With ``keep_emptied`` a page of
+    boilerplate only keeps its text: such pages are mostly members of a group of copies, whose text
+    would be lost with all of them; finding one page of each group is left to near-dedup.
+
     A site has at most (mean lines per page / max_ratio) boilerplate lines, as each takes
     up more than that share of its pages. So their list per site is short, whatever the
     site's size, and the texts meet it in one join on the site, where Spark broadcasts
     the lists if they measure small and splits large sites otherwise.
     """
-    found = boilerplate(pages, site=site, text=text, max_ratio=max_ratio, min_pages=min_pages)
+    found = boilerplate(pages, site=site, text=text, max_ratio=max_ratio, min_pages=min_pages, copies_once=copies_once)
     lists = materialise(found.groupBy("site").agg(F.collect_list("line").alias("_lines")), "boilerplate")
     joined = pages.join(lists.withColumnRenamed("site", "_site"), F.col(site) == F.col("_site"), "left")
     parts = F.split(text, "\n", -1)
     kept = F.filter(parts, lambda line: ~F.array_contains("_lines", line_key(line)))
     hit = F.col("_lines").isNotNull() & F.col(text).isNotNull()
     cleaned = joined.withColumn("_kept", F.when(hit, kept))
+    if keep_emptied:
+        cleaned = cleaned.withColumn("_kept", F.when(F.size(_visible(F.col("_kept"))) > 0, F.col("_kept")).otherwise(F.when(hit, parts)))
     count = F.when(hit, F.size(F.split(text, "\n", -1)) - F.size("_kept")).otherwise(0).cast("bigint")
     if dropped:
         cleaned = cleaned.withColumn(dropped, count)
