@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from millrace.llm.mixing import mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -34,3 +35,20 @@ def test_one_document_of_a_large_group_of_copies_keeps_its_text(spark, changed):
     assert all(t.split("\n")[1] in left for t in texts[40:])
     if not changed:
         assert len(left) == 81
+
+
+# --- mixing
+
+
+def test_any_number_of_sources_makes_a_whole_mix(spark):
+    rows = [(i, f"s{i % 600}") for i in range(12_000)] + [(20_000 + i, f"t{i}") for i in range(300)]
+    rows += [(30_000 + i, "large") for i in range(9000)] + [(None, None), (7, None)]
+    found = mix(spark.createDataFrame(rows, "doc_id long, source string")).orderBy("position").collect()
+    assert Counter((r.doc_id, r.source) for r in found) == Counter(rows) and len({r.position for r in found}) == len(rows)
+    weights = {s: n**0.5 for s, n in Counter(s for _, s in rows).items()}
+    whole, seen = sum(weights.values()), Counter()
+    for t, r in enumerate(found[:9000], 1):
+        seen[r.source] += 1
+        assert abs(seen["large"] - t * weights["large"] / whole) < 8 + t / 1000
+        if t % 500 == 0:
+            assert all(abs(seen[f"s{i}"] - t * weights["s0"] / whole) < 2.5 for i in range(600))
