@@ -1,7 +1,8 @@
 """Chat formatting by quotation linking.
 
 Lines that start with ``>`` are quoted, one level per mark. Quoted passages are
-normalised and hashed, and the hash finds the message that first said the same.
+normalised and hashed, and the hash finds the message that first said the same: whole passages however
+they are wrapped, single lines, and runs of a few words for what is cut and wrapped anew.
 The message quoted at the outermost level is the one replied to. Following these links
 to their ends gives each message its conversation (the message that all replies
 lead back to) and its depth; sorted by conversation, depth and turn, every message comes
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import same
+from .columns import let, same
 from .storage import materialise
 
 _MARKS = r"^(?:[ \t]*+>)*+"
@@ -47,13 +48,49 @@ def normalised(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+#: Words of a run: enough that it is rarely said twice by chance.
+RUN = 5
+
+
+def passages(lines: Column) -> Column:
+    """Normalised pieces of a message by ``level``: lines, paragraphs, all of a level's consecutive lines, all own lines, and runs of words."""
+    plain = F.transform(lines, lambda x: F.struct(x["level"].alias("level"), F.translate(normalised(x["line"]), "\x01\x02", "  ").alias("line")))
+    return let(plain, _pieces)
+
+
+def _pieces(plain: Column) -> Column:
+    piece = lambda level, line: F.struct(level.alias("level"), normalised(line).alias("line"))
+    # One string, in which each stretch of a level starts with its level; a blank line parts paragraphs.
+    changes = lambda x, i: (i == 0) | (F.get(plain, i - 1)["level"] != x["level"])
+    marked = F.transform(plain, lambda x, i: F.concat(F.when(changes(x, i), F.concat(F.lit("\x01"), x["level"], F.lit("\x02"))).otherwise(F.lit("\n")), x["line"]))
+    stretches = F.transform(
+        F.filter(F.split(F.array_join(marked, ""), "\x01"), lambda x: x != ""),
+        lambda x: F.struct(F.substring_index(x, "\x02", 1).cast("int").alias("level"), F.substring_index(x, "\x02", -1).alias("lines")),
+    )
+    own = F.array_join(F.transform(F.filter(plain, lambda x: x["level"] == 0), lambda x: x["line"]), " ")
+    paragraphs = F.flatten(F.transform(stretches, lambda x: F.transform(F.split(x["lines"], "\n\n+"), lambda y: piece(x["level"], y))))
+    whole = F.concat(F.transform(stretches, lambda x: piece(x["level"], x["lines"])), F.array(piece(F.lit(0), own)))
+    words = F.transform(whole, lambda x: F.struct(x["level"].alias("level"), F.split(x["line"], " ").alias("words")))
+    runs = F.flatten(
+        F.transform(
+            F.filter(words, lambda x: F.size(x["words"]) > RUN),
+            lambda x: F.transform(
+                F.sequence(F.lit(1), F.size(x["words"]) - RUN + 1),
+                lambda i: F.struct(x["level"].alias("level"), F.array_join(F.slice(x["words"], i, RUN), " ").alias("line")),
+            ),
+        )
+    )
+    return F.concat(plain, paragraphs, whole, runs)
+
+
 def link_quotes(
-    messages: DataFrame, *, thread: str = "conv_id", turn: str = "turn", text: str = "text", min_chars: int = 8,
+    messages: DataFrame, *, thread: str = "conv_id", turn: str = "turn", text: str = "text", min_chars: int = 1,
 ) -> DataFrame:
     """Add ``parent_turn``, ``root_turn``, ``depth`` and ``n_quoted_lines``, and take the quotes out of the text.
 
-    A passage is a line; shorter ones than ``min_chars`` after normalising link nothing. Its
-    original is the earliest message of the same ``thread`` with that line among its own, before the
+    A passage is a line, a paragraph, all consecutive lines of a level, or a run of ``RUN`` words of these,
+    with at least ``min_chars`` characters after normalising. Its
+    original is the earliest message of the same ``thread`` with that passage (or as all its own text), before the
     quoting one. Of several, the outermost level decides, then the most quoted characters,
     then the later turn. A message whose quotes are not found, or that has none, starts a conversation: ``parent_turn``
     is null, ``root_turn`` its own turn and ``depth`` 0. Null texts stay null; a null turn is never
@@ -66,16 +103,19 @@ def link_quotes(
     results = ("parent_turn", "root_turn", "depth", "n_quoted_lines")
     messages = messages.drop(*results)
     lined = messages.withColumn("_lines", quote_lines(F.col(text)))
-    said = lined.where(F.col(turn).isNotNull()).select(F.col(thread).alias("thread"), F.col(turn).alias("turn"), F.explode("_lines").alias("l"))
-    said = said.select("thread", "turn", "l.level", normalised(F.col("l.line")).alias("line")).where(F.length("line") >= min_chars)
-    hashed = said.select("thread", "turn", "level", F.xxhash64("line").alias("hash"), F.length("line").alias("chars"))
+    said = lined.where(F.col(turn).isNotNull()).select(F.col(thread).alias("thread"), F.col(turn).alias("turn"), "_lines")
+
+    def hashed(some: DataFrame) -> DataFrame:
+        parts = some.select("thread", "turn", F.explode(passages(F.col("_lines"))).alias("l")).where(F.length("l.line") >= min_chars)
+        return parts.select("thread", "turn", "l.level", F.xxhash64("l.line").alias("hash"), F.length("l.line").alias("chars"))
 
-    quotes = hashed.where("level > 0").groupBy("thread", "turn", "level", "hash").agg(F.sum("chars").alias("chars"))
+    quotes = hashed(said.where(F.exists("_lines", lambda x: x["level"] > 0))).where("level > 0")
+    quotes = quotes.groupBy("thread", "turn", "level", "hash").agg(F.max("chars").alias("chars"))
     quotes = materialise(quotes, "quotes")
     if quotes.isEmpty():
         links = None
     else:
-        first = hashed.where("level = 0").groupBy("thread", "hash").agg(F.min("turn").alias("original"))
+        first = hashed(said).where("level = 0").groupBy("thread", "hash").agg(F.min("turn").alias("original"))
         met = quotes.join(first, same(quotes, first, "thread", "hash") & (F.col("original") < F.col("turn")))
         met = met.select(quotes["thread"], "turn", "level", "original", "chars")
         votes = met.groupBy("thread", "turn", "level", "original").agg(F.sum("chars").alias("chars"))

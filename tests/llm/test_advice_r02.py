@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm.mixing import mix
+from millrace.llm.quotes import link_quotes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -52,3 +53,25 @@ def test_any_number_of_sources_makes_a_whole_mix(spark):
         assert abs(seen["large"] - t * weights["large"] / whole) < 8 + t / 1000
         if t % 500 == 0:
             assert all(abs(seen[f"s{i}"] - t * weights["s0"] / whole) < 2.5 for i in range(600))
+
+
+# --- quotes
+
+
+def test_short_wrapped_and_cut_quotations_are_linked(spark):
+    said = "The train to the coast leaves at nine from the old station\nand we will need about two hours to get there with the luggage"
+    messages = [
+        (1, 0, "Are you coming along tomorrow?"),
+        (1, 1, "> Are you coming along tomorrow?\nYes."),
+        (1, 2, "> Yes.\nThanks!"),
+        (1, 3, ">Thanks!\n:)"),
+        (1, 4, "> :)\nbye"),
+        (2, 0, said + "\n\nRegards"),
+        (2, 1, "> The train to the coast leaves\n> at nine from the old station and we will\n> need about two hours to get there with the luggage\n>\n> Regards\ngood"),
+        (2, 2, "> " + said.replace("\n", " ") + "\nfine"),
+        (2, 3, "> at nine from the old\n> station and we will need about\n> two\nright"),
+        (2, 4, "> nothing that anybody here has ever said before\nwhat?"),
+    ]
+    found = {(r.conv_id, r.turn): (r.parent_turn, r.depth) for r in link_quotes(spark.createDataFrame(messages, "conv_id long, turn long, text string")).collect()}
+    assert [found[1, i] for i in range(5)] == [(None, 0), (0, 1), (1, 2), (2, 3), (3, 4)]
+    assert [found[2, i] for i in range(5)] == [(None, 0), (0, 1), (0, 1), (0, 1), (None, 0)]
