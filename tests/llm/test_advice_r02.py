@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from millrace.llm.mixing import mix
 from millrace.llm.quotes import link_quotes
+from millrace.llm.toxicity import SEEN, class_models
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -75,3 +76,16 @@ def test_short_wrapped_and_cut_quotations_are_linked(spark):
     found = {(r.conv_id, r.turn): (r.parent_turn, r.depth) for r in link_quotes(spark.createDataFrame(messages, "conv_id long, turn long, text string")).collect()}
     assert [found[1, i] for i in range(5)] == [(None, 0), (0, 1), (1, 2), (2, 3), (3, 4)]
     assert [found[2, i] for i in range(5)] == [(None, 0), (0, 1), (0, 1), (0, 1), (None, 0)]
+
+
+# --- toxicity
+
+
+def test_rare_spellings_count_in_any_size_of_corpus(spark):
+    rare = " ".join(["zagfuk"] * SEEN)
+    # 8.4 million letters: under a bar of 2^-20 of all, a pair would need nine sightings.
+    common = " ".join(["ordinary"] * 40_000)
+    rows = [(rare, 1)] + [(common, i % 2) for i in range(24)]
+    labelled = spark.createDataFrame(rows, "text string, toxic int")
+    ratios = [r.ratio for r in class_models(labelled).collect()]
+    assert len(ratios) == len("zagfuk") + len("ordinary") + 2 and sum(ratios) > 0
