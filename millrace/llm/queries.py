@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.session import pin
 
 from . import sql
+from .compression import compress, digest
 from .decontamination import contaminated
 from .line_dedup import drop_boilerplate
 from .mixing import mix
@@ -21,6 +22,7 @@ from .quotes import link_quotes
 from .token_counts import count_tokens
 from .toxicity import HELD_OUT, fit, fold, score_toxicity
 from .url_filter import judge_urls
+from .whitening import whiten
 from .workers import ship
 
 
@@ -112,6 +114,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is a long, null where it does not fit; ``exact_deviation`` then has it."""
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumns({"exact_deviation": F.col("deviation"), "deviation": F.col("deviation").try_cast("bigint")})
+
+
+def op12_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest(codebooks)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -123,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_vector_compression": op12_vector_compression,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,4 +146,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_minhash_near_dedup": sql.NEAR_DUPLICATES,
     "op9_decontamination": sql.DECONTAMINATION,
     "op10_quality_rules": sql.QUALITY,
+    "op12_vector_compression": sql.VECTOR_COMPRESSION,
 }

@@ -106,3 +106,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat AS n_repeat
        NOT (n_words < 50 OR 100 * n_repeat > 50 * n_words OR n_words > 1000000 OR word_chars < 2 * n_words
             OR word_chars > 15 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines) AS kept
 FROM q"""
+
+
+def _vector_compression(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    def nearest(name: str, book: str) -> str:
+        return f"""
+{name} AS (
+  SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT x.r, x.p, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM x JOIN {book} b USING (p)) GROUP BY r, p)"""
+
+    def better(name: str, before: str, codes: str) -> str:
+        return f"""
+{name} AS (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM {before} b LEFT JOIN (
+    SELECT p, e, list(CAST(floor((s - (s % n + n) % n) / n) AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT p, c.e, i, CAST(sum(x.v[i]) AS BIGINT) AS s, count(*) AS n
+      FROM x JOIN {codes} c USING (r, p), (SELECT unnest(range(1, {64 // parts + 1})) AS i) GROUP BY p, c.e, i)
+    GROUP BY p, e) m USING (p, e))"""
+
+    steps = []
+    for k in range(rounds):
+        steps += [nearest(f"c{k}", f"b{k}"), better(f"b{k + 1}", f"b{k}", f"c{k}")]
+    steps.append(nearest("c", f"b{rounds}"))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label,
+         list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (
+  SELECT r, p, list_slice(v, p * {64 // parts} + 1, (p + 1) * {64 // parts}) AS v
+  FROM kept, (SELECT unnest(range({parts})) AS p)),
+b0 AS (SELECT p, r AS e, v FROM x WHERE r < {entries}),{",".join(steps)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM c GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), book"""
+
+
+VECTOR_COMPRESSION = _vector_compression()
