@@ -102,9 +102,12 @@ def leading(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     k = min(k, n)
     if k == 0:
         return np.zeros(0), np.zeros((n, 0))
-    diagonal, off, q = tridiagonal(matrix)
+    scale = float(np.abs(matrix).max())
+    if scale == 0.0:
+        return np.zeros(k), np.eye(n)[:, :k]
+    diagonal, off, q = tridiagonal(matrix / scale)
     values = leading_values(diagonal, off, k)
-    norm = max(float(np.abs(diagonal).max() + 2 * np.abs(off).max(initial=0.0)), 1e-300)
+    norm = float(np.abs(diagonal).max() + 2 * np.abs(off).max(initial=0.0))
     random = np.random.Generator(np.random.PCG64(7))
     vectors = np.zeros((n, k))
     start = 0  # of the cluster
@@ -122,4 +125,4 @@ def leading(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         vectors[:, i] = y / np.linalg.norm(y)
     vectors = q @ vectors
     vectors *= np.where(vectors[np.abs(vectors).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
-    return values, vectors
+    return values * scale, vectors

@@ -19,6 +19,7 @@ from .pii import BASE as PII_KINDS
 from .pii import count_of, find_personal_data, span_list
 from .quality import POLICIES, ledger, verdict
 from .quotes import link_quotes
+from .repeats import remove_repeats
 from .token_counts import count_tokens
 from .toxicity import HELD_OUT, fit, fold, score_toxicity
 from .url_filter import judge_urls
@@ -125,6 +126,16 @@ def op12_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(digest(codebooks)).alias("codebooks_sha256"))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -138,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_vector_compression": op12_vector_compression,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -147,4 +159,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_decontamination": sql.DECONTAMINATION,
     "op10_quality_rules": sql.QUALITY,
     "op12_vector_compression": sql.VECTOR_COMPRESSION,
+    "op13_suffix_array_dedup": sql.EARLIER_PASSAGES,
 }

@@ -147,3 +147,21 @@ FROM kept JOIN coded USING (r), book"""
 
 
 VECTOR_COMPRESSION = _vector_compression()
+
+EARLIER_PASSAGES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (
+  SELECT r, doc_id, i, b[i : i + 49] AS s
+  FROM (SELECT r, doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d WHERE octet_length(b) >= 50)),
+first_in AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING min(doc_id) < max(doc_id) OR count(*) > 1),
+hit AS (SELECT r, i FROM w JOIN first_in USING (s) WHERE first_id < doc_id OR (doc_id IS NULL AND first_id IS NOT NULL)),
+island AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM (
+    SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit)),
+span AS (SELECT r, k, min(i) AS a, max(i) + 50 AS z FROM island GROUP BY r, k),
+per AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM span GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(CAST(n_removed AS BIGINT), 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(list_aggregate(list_transform(
+         list_zip(list_prepend(1, ends), list_append(starts, octet_length(b) + 1)),
+         lambda p: hex(b[p[1] : p[2] - 1])), 'string_agg', '')) END) AS kept_sha256
+FROM d LEFT JOIN per USING (r)"""

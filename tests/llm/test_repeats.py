@@ -1,0 +1,124 @@
+"""Passages that earlier documents have, against a plain version over all strings."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm.repeats import hashes, in_earlier, marks, pack, remove_repeats, stretches, unpack
+
+
+def plain(rows, length):
+    """(id, bytes, spans, kept) per row of (id, text)."""
+    data = [(i, (t or "").encode()) for i, t in rows]
+    order = lambda i: (i is None, i or 0)
+    first = {}
+    for i, b in data:
+        for k in range(len(b) - length + 1):
+            s = b[k : k + length]
+            first[s] = min(first.get(s, order(i)), order(i))
+    out = []
+    for i, b in data:
+        goes = [False] * len(b)
+        for k in range(len(b) - length + 1):
+            if first[b[k : k + length]] < order(i):
+                goes[k : k + length] = [True] * length
+        edges = [k for k in range(len(b) + 1) if (k > 0 and goes[k - 1]) != (k < len(b) and goes[k])]
+        spans = list(zip(edges[::2], edges[1::2]))
+        out.append((i, len(b), spans, bytes(x for x, g in zip(b, goes) if not g)))
+    return sorted(out, key=str)
+
+
+def cut(spark, rows, **how):
+    docs = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id long, text string, block string, _id int").repartition(3)
+    return sorted([(r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in remove_repeats(docs, **how).collect()], key=str)
+
+
+def texts(seed, n=60):
+    pick = random.Random(seed)
+    word = lambda: pick.choice(["the", "a", "größe", "of", "日本", "data", "x", "engine", "shuffle"])
+    passages = [" ".join(word() for _ in range(25)) for _ in range(6)]
+    rows = []
+    for i in range(n):
+        parts = [" ".join(word() for _ in range(pick.randrange(20))) for _ in range(3)]
+        parts[1:1] = [p[pick.randrange(15) :] for p in pick.sample(passages, pick.randrange(3))]
+        rows.append((pick.randrange(1000), "".join(parts)))
+    whole = "".join(chr(pick.randrange(97, 123)) for _ in range(400))
+    rows += [(5000 + i, whole[:200] + str(i) + whole[201:]) for i in range(30)]  # near copies
+    rows += [(6000 + i, whole) for i in range(30)]  # copies
+    rows += [(None, whole), (None, passages[0] * 2), (None, None), (7, None), (8, ""), (9, "ab"), (10, "a" * 300), (11, "a" * 49), (12, "ab" * 100), (3, "a" * 60)]
+    return rows + [rows[0], (rows[1][0], passages[2])]
+
+
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 500}, {"block_bytes": 2000, "hot": 3}, {"length": 20, "gram": 8, "block_bytes": 1500, "hot": 10}, {"length": 18, "gram": 18}])
+def test_repeats_agree_with_a_plain_version(spark, how):
+    rows = texts(len(how))
+    assert cut(spark, rows, **how) == plain(rows, how.get("length", 50))
+
+
+def test_first_copy_stays_and_edges_are_exact(spark):
+    shared = "".join(chr(97 + i * 7 % 26) for i in range(26)) + "".join(chr(97 + i * 11 % 26) for i in range(26))  # 52 bytes
+    rows = [(2, "before " + shared + " after"), (1, shared), (3, shared[:50]), (4, shared[:49]), (5, shared[2:] + "é"), (6, "é" + shared[1:] + shared)]
+    found = {i: (spans, kept) for i, _, spans, kept in cut(spark, rows)}
+    assert found[1] == ([], shared.encode())
+    assert found[2] == ([(7, 59)], b"before  after")
+    assert found[3] == ([(0, 50)], b"") and found[4] == ([], shared[:49].encode())
+    assert found[5] == ([(0, 50)], "é".encode())
+    assert found[6] == ([(2, 2 + 51 + 52)], "é".encode())
+
+
+def test_no_rows_no_texts_and_wrong_ids(spark):
+    assert cut(spark, []) == []
+    assert cut(spark, [(1, None), (None, "")]) == [(1, 0, [], b""), (None, 0, [], b"")]
+    with pytest.raises(ValueError, match="whole number"):
+        remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(ValueError, match="gram"):
+        remove_repeats(spark.createDataFrame([(1, "b")], "doc_id long, text string"), gram=51)
+
+
+def test_a_very_long_text_and_a_string_that_a_third_of_all_rows_have(spark):
+    pick = random.Random(4)
+    long_ = "".join(pick.choice("abcdefgh ") for _ in range(400_000))
+    common = "this passage stands in very many of the documents here, whatever they say."
+    rows = [(i, f"{pick.random()} {common} {pick.random()}") for i in range(1000)] + [(5000, long_ + common), (5001, long_[1000:1100])]
+    found = {i: spans for i, _, spans, _ in cut(spark, rows, block_bytes=20_000, hot=50)}
+    assert all(len(found[i]) == 1 for i in range(1, 1000)) and found[0] == []
+    assert found[5000] == [(400_000, 400_000 + len(common))] and found[5001] == [(0, 100)]
+
+
+@given(st.lists(st.text(alphabet="ab", max_size=40), max_size=8), st.integers(8, 14))
+@settings(max_examples=60, deadline=None)
+def test_every_string_is_in_one_stretch_and_equal_strings_share_an_anchor(parts, length):
+    data = [p.encode() for p in parts]
+    offsets = np.cumsum([0, *map(len, data)])
+    row, at, count, anchor = stretches(np.frombuffer(b"".join(data), np.uint8), offsets, length, 8)
+    seen, anchors = [], {}
+    for r, a, n, h in zip(row, at, count, anchor):
+        for k in range(a, a + n):
+            s = data[r][k - offsets[r] : k - offsets[r] + length]
+            assert len(s) == length and anchors.setdefault(s, h) == h
+            seen.append(k)
+    expected = [o + k for o, d in zip(offsets, data) for k in range(len(d) - length + 1)]
+    assert sorted(seen) == expected
+
+
+def test_packed_columns_and_hashes():
+    a, b = np.array([1, 5, 1 << 60], np.uint64), np.array([1, 2, 3], np.uint8)
+    (x, y), tail = unpack(pack(a, b, tail=b"rest"), np.uint64, np.uint8)
+    assert x.tolist() == a.tolist() and y.tolist() == [1, 2, 3] and tail.tobytes() == b"rest"
+    assert unpack(pack(a[:0]), np.uint64)[0][0].tolist() == []
+    padded = np.frombuffer(b"abcabcabcxabcabcabc" + bytes(8), np.uint8)
+    h = hashes(padded, np.array([0, 10, 0, 0, 3]), np.array([9, 9, 8, 3, 3]))
+    assert h[0] == h[1] and h[3] == h[4] and len(set(h.tolist())) == 3
+
+
+def test_previous_and_next_smaller_documents_in_suffix_order():
+    strings = [b"abcdefghij", b"abcdefghij", b"abcdefghix", b"abcdefghij", b"abcdefghix"]
+    padded = np.frombuffer(b"".join(strings) + bytes(8), np.uint8)
+    group, document = np.array([0, 0, 0, 1, 0]), np.array([5, 3, 9, 1, 9])
+    found = in_earlier(padded, np.arange(5) * 10, group, document, 10)
+    assert found.tolist() == [True, False, False, False, False]
+    every = marks(padded[:50], np.array([7, 7, 7, 8, 7], np.uint64), np.full(5, 2), document, 9)
+    assert every.tolist() == [3, 0, 0b01, 0, 0b01]
