@@ -1,21 +1,25 @@
 from .generations import Generation, current_generation, new_generation, retire_generations, show
 from .governed import BLOCKED, AmbiguousRequest, LedgerTampered, governed_refresh
+from .order import CircularTables, UnknownTable, in_order
 from .pipelines import NotUpdatable, Step, Update, full_refresh, orders_pipeline, recompute, update
 from .targets import create_layers, database, target
 
 __all__ = [
     "BLOCKED",
     "AmbiguousRequest",
+    "CircularTables",
     "Generation",
     "LedgerTampered",
     "NotUpdatable",
     "Step",
+    "UnknownTable",
     "Update",
     "create_layers",
     "current_generation",
     "database",
     "full_refresh",
     "governed_refresh",
+    "in_order",
     "new_generation",
     "orders_pipeline",
     "recompute",

@@ -6,21 +6,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql.types import StructType
-
-from ..operators import (
-    VALID_ORDER_ID,
-    Expectation,
-    contract,
-    expect_and_count,
-    expectation_counts,
-    require_contract,
-    transform_orders,
-)
+
+from ..operators import VALID_ORDER_ID, Expectation, contract, expect_and_count, require_contract, transform_orders
 from ..session import require_settings
 from ..sources import scan, scan_new_files
-from ..streaming import Counts, UncountedBatches, append_available
+from ..streaming import Counts, append, counted, start_counting
 from .generations import Generation, current_generation, new_generation, show
+from .order import UnknownTable, in_order
 
 Read = Callable[[str], DataFrame]
 
@@ -33,8 +25,9 @@ class NotUpdatable(Exception):
 class Step:
     """One table of a pipeline and the rows it holds.
 
-    ``build`` gets a function that reads an earlier table of the same pipeline
-    by name, as a batch or as a stream depending on how the pipeline is run.
+    ``build`` gets a function that reads another table of the same pipeline
+    by name, as a batch or as a stream depending on how the pipeline is run. It is called
+    twice, first only to learn what it reads, so it should do nothing but describe its rows.
     """
 
     table: str
@@ -64,20 +57,30 @@ def orders_pipeline(rows: Callable[[], DataFrame], raw: str, bronze: str) -> tup
     )
 
 
-def _require_ready(spark: SparkSession, steps: Sequence[Step]) -> None:
-    """Refuse what would only fail, or do harm, after all the work was done."""
+def _ready(spark: SparkSession, steps: Sequence[Step], streamed: bool) -> list[Step]:
+    """The steps in the order of what they read, after refusing what would only fail, or do harm, when all work is done."""
     require_settings(spark)
+    if not steps:
+        raise ValueError("a pipeline has one step at least")
     for step in steps:
         current_generation(spark, step.table)
 
+    def elsewhere(table: str) -> DataFrame:
+        if streamed or not spark.catalog.tableExists(table):
+            raise UnknownTable(f"{table}: no step writes it" + (", and updates read no other tables" if streamed else ", and there is no such table"))
+        return scan(spark, table)
+
+    return in_order(steps, elsewhere)
+
 
 def recompute(spark: SparkSession, steps: Sequence[Step]) -> Update:
     """Batch update: write every table anew and show them when all are complete.
 
-    Steps read earlier tables of the same run. A step that fails leaves every table
+    Steps may come in any order: a step reads the tables that this run writes as this run writes them. A table that
+    no step writes, and a step's own, are read as they are shown. A step that fails leaves every table
     as it was. The counts come from the writing jobs themselves.
     """
-    _require_ready(spark, steps)
+    steps = _ready(spark, steps, streamed=False)
     generation = new_generation(spark, steps[-1].table, streamed=False)
     counts, schemas = {}, {}
 
@@ -106,48 +109,32 @@ def _append_to(
     Steps read earlier tables of the same generation and never another's. A
     checkpoint therefore always belongs to the files it was made from. Tables of
     a generation that is shown already are kept current step by step; a new one
-    is shown only when all its tables are complete.
+    is shown only when all its tables are complete. Rows are counted while later tables are written.
     """
-    _require_ready(spark, steps)
-    counts, schemas = {}, {}
+    schemas, countings = {}, {}
 
     def read(table: str) -> DataFrame:
         return scan_new_files(spark, generation.data(table), schemas[table])
 
-    for step in steps:
-        rows = step.build(read)
-        schemas[step.table] = rows.schema
-        counts[step.table] = append_available(
-            rows,
-            generation.data(step.table),
-            generation.checkpoint(step.table),
-            step.expectations,
-            lambda step=step: _all_counts(spark, step, generation, schemas),
-        )
-        if shown:
-            show(spark, step.table, generation, rows.schema, step.comment)
+    try:
+        for step in steps:
+            rows = step.build(read)
+            schemas[step.table] = rows.schema
+            target = generation.data(step.table), generation.checkpoint(step.table)
+            append(rows, *target, step.expectations)
+            countings[step.table] = start_counting(rows, *target, step.expectations)
+            if shown:
+                show(spark, step.table, generation, rows.schema, step.comment)
+        counts = {table: counted(query, spark, generation.checkpoint(table)) for table, query in countings.items()}
+    finally:
+        for query in countings.values():
+            query.stop()
     if not shown:
         for step in steps:
             show(spark, step.table, generation, schemas[step.table], step.comment)
     return Update(generation.id, counts)
 
 
-def _all_counts(
-    spark: SparkSession, step: Step, generation: Generation, schemas: Mapping[str, StructType]
-) -> Counts:
-    """Counts of everything a table of a streamed generation was ever offered, from the tables themselves."""
-
-    def read(table: str) -> DataFrame:
-        return spark.read.schema(schemas[table]).parquet(generation.data(table))
-
-    if not step.expectations:
-        return Counts(read(step.table).count())
-    rows = step.build(read)
-    if rows.isStreaming:
-        raise UncountedBatches(f"{step.table} drops rows of a source that cannot be read again")
-    return Counts.of(expectation_counts(rows, *step.expectations).first().asDict())
-
-
 def update(spark: SparkSession, steps: Sequence[Step]) -> Update:
     """Incremental update: clean and append only input that has arrived since the last one.
 
@@ -156,6 +143,7 @@ def update(spark: SparkSession, steps: Sequence[Step]) -> Update:
     Tables that a batch wrote have no checkpoint to go on from. Replacing them has to
     be asked for, so that is an error; only a pipeline without a table starts by itself.
     """
+    steps = _ready(spark, steps, streamed=True)
     generation = current_generation(spark, steps[-1].table)
     if generation is None:
         return full_refresh(spark, steps)
@@ -170,5 +158,6 @@ def full_refresh(spark: SparkSession, steps: Sequence[Step]) -> Update:
     Data and checkpoints are new together. With only one of them new, the run
     would add nothing, or would leave the table empty.
     """
+    steps = _ready(spark, steps, streamed=True)
     generation = new_generation(spark, steps[-1].table, streamed=True)
     return _append_to(spark, steps, generation, shown=False)

@@ -1,3 +1,3 @@
-from .updates import Counts, UncountedBatches, append_available
+from .updates import Counts, append, append_available, counted, start_counting
 
-__all__ = ["Counts", "UncountedBatches", "append_available"]
+__all__ = ["Counts", "append", "append_available", "counted", "start_counting"]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import Expectation, expect_and_count
+from ..operators import Expectation, expect_and_count, expectation_counts
+from ..sources import scan_new_files
 
 _METRICS = "row_counts"
-_RECORD = "batch LONG, n_batches LONG, seen LONG, dropped LONG, failed MAP<STRING, LONG>"
+_RECORD = "batch LONG, seen LONG, dropped LONG, failed MAP<STRING, LONG>"
+_REPORTED = "batch LONG"
 
 
 @dataclass(frozen=True)
@@ -32,34 +34,29 @@ class Counts:
         failed = {n: self.failed.get(n, 0) + other.failed.get(n, 0) for n in {**self.failed, **other.failed}}
         return Counts(self.seen + other.seen, self.dropped + other.dropped, failed)
 
-    def __sub__(self, other: Counts) -> Counts:
-        failed = {n: m - other.failed.get(n, 0) for n, m in self.failed.items()}
-        return Counts(self.seen - other.seen, self.dropped - other.dropped, failed)
-
-
-class UncountedBatches(Exception):
-    """Batches were committed whose counts are not on record, and the rows cannot be counted again."""
-
 
 def append_available(
-    stream: DataFrame,
-    path: str,
-    checkpoint: str,
-    expectations: Sequence[Expectation] = (),
-    recount: Callable[[], Counts] | None = None,
+    stream: DataFrame, path: str, checkpoint: str, expectations: Sequence[Expectation] = ()
 ) -> Counts:
     """Append what the stream has to offer now, then stop, and count it.
 
+    The counts are those of all rows offered since the last call that returned some: over
+    all calls each row counts once, cut-off ones included.
+    """
+    append(stream, path, checkpoint, expectations)
+    counting = start_counting(stream, path, checkpoint, expectations)
+    return counted(counting, stream.sparkSession, checkpoint)
+
+
+def append(
+    stream: DataFrame, path: str, checkpoint: str, expectations: Sequence[Expectation] = ()
+) -> None:
+    """Append what the stream has to offer now and meets all expectations, then stop.
+
     Work is bounded per micro-batch by the source, and a batch that was cut off
     is repeated as a whole by the next run: the sink's log shows readers each
-    batch once. Counts are kept by batch in ``<checkpoint>-counts``, so a repeated
-    batch counts once. Batches that were committed but not put on record, because a
-    run was cut off in between or reported more than was kept, are found by their
-    number; ``recount`` then gives the counts of all batches so far, and what is
-    not on record is the difference. The result is what this call put on record:
-    over all calls each row counts once.
+    batch once. The filter stays above all strict casts, as the rows are looked at before it.
     """
-    spark = stream.sparkSession
     query = (
         expect_and_count(stream, _METRICS, expectations)
         .writeStream.format("parquet")
@@ -69,56 +66,67 @@ def append_available(
         .trigger(availableNow=True)
         .start()
     )
-    reported: dict[int, Counts] = {}
+    _to_its_end(query)
+
+
+def start_counting(
+    stream: DataFrame, path: str, checkpoint: str, expectations: Sequence[Expectation] = ()
+) -> StreamingQuery:
+    """Start to count what was offered to an append that has ended.
+
+    Counting is a stream with a checkpoint of its own. Every batch's counts are written
+    under its number before the batch is committed, and a repeated batch overwrites its own, so a row counts once
+    wherever a run is cut off. With expectations the rows offered are read again, the
+    conditions' columns only; without any, the rows appended, of which only the number is read.
+    """
+    spark = stream.sparkSession
+    folder = _counts_folder(spark, checkpoint)
+    rows = stream if expectations else scan_new_files(spark, path, stream.schema)
+
+    def put_down(batch: DataFrame, number: int) -> None:
+        failed = F.map_from_arrays(
+            F.array(*(F.lit(e.name) for e in expectations)).cast("array<string>"),
+            F.array(*(F.col(f"`{e.name}`") for e in expectations)).cast("array<bigint>"),
+        )
+        line = expectation_counts(batch, *expectations).select(F.lit(number).cast("bigint").alias("batch"), "seen", "dropped", failed.alias("failed"))
+        line.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batches/{number:012d}")
+
+    return (
+        rows.writeStream.foreachBatch(put_down)
+        .option("checkpointLocation", f"{folder}/ckpt")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def counted(counting: StreamingQuery, spark: SparkSession, checkpoint: str) -> Counts:
+    """Wait for the counting to end; the sum of what it and cut-off runs before it have counted."""
+    _to_its_end(counting)
+    return _put_on_record(spark, _counts_folder(spark, checkpoint))
 
-    def collect_reports() -> None:
-        for progress in query.recentProgress:
-            if _METRICS in progress.observedMetrics:
-                reported[progress.batchId] = Counts.of(progress.observedMetrics[_METRICS].asDict())
 
+def _to_its_end(query: StreamingQuery) -> None:
     try:
-        while not query.awaitTermination(1):
-            collect_reports()
+        query.awaitTermination()
     finally:
         query.stop()
-    collect_reports()
-    return _put_on_record(spark, checkpoint, reported, recount)
 
 
-def _put_on_record(
-    spark: SparkSession,
-    checkpoint: str,
-    reported: Mapping[int, Counts],
-    recount: Callable[[], Counts] | None,
-) -> Counts:
+def _counts_folder(spark: SparkSession, checkpoint: str) -> str:
     folder = f"{checkpoint.rstrip('/')}-counts"
-    # The log of commits names its files by batch and keeps only the latest ones.
-    commits = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(f"{checkpoint}/commits").select("path")
-    last = commits.agg(F.max(F.regexp_extract("path", "([0-9]+)$", 1).try_cast("long"))).first()[0]
-    committed = 0 if last is None else last + 1
-    n_recorded, known, recorded = 0, set(), Counts()
-    try:
-        record = spark.read.schema(_RECORD).parquet(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    else:
-        total = record.agg(F.sum("n_batches").alias("n"), F.sum("seen").alias("seen"), F.sum("dropped").alias("dropped")).first()
-        failed = record.select(F.explode("failed").alias("name", "n")).groupBy("name").agg(F.sum("n").alias("n")).collect()
-        n_recorded = total.n or 0
-        recorded = Counts(total.seen or 0, total.dropped or 0, {r["name"]: r["n"] for r in failed})
-        if reported:
-            known = {r.batch for r in record.filter(F.col("batch") >= min(reported)).select("batch").collect()}
-    new = {batch: counts for batch, counts in reported.items() if batch not in known}
-    rows = [(batch, 1, c.seen, c.dropped, dict(c.failed)) for batch, c in sorted(new.items())]
-    added = sum(new.values(), Counts())
-    missing = committed - n_recorded - len(new)
-    if missing > 0:
-        if recount is None:
-            raise UncountedBatches(f"{missing} batches of {checkpoint}")
-        gap = recount() - recorded - added
-        rows.append((-committed, missing, gap.seen, gap.dropped, dict(gap.failed)))
-        added += gap
-    if rows:
-        spark.createDataFrame(rows, _RECORD).coalesce(1).write.mode("append").parquet(folder)
-    return added
+    for name, schema in (("batches", _RECORD), ("reported", _REPORTED)):
+        # Hidden, but the folder around it is there to be read from the start.
+        spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(f"{folder}/{name}/_start")
+    return folder
+
+
+def _put_on_record(spark: SparkSession, folder: str) -> Counts:
+    """The sum of the batches that no call has reported yet; from now on they are reported."""
+    reported = spark.read.schema(_REPORTED).parquet(f"{folder}/reported")
+    last = reported.agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("batch")).first().batch
+    batches = spark.read.schema(_RECORD).option("recursiveFileLookup", "true").parquet(f"{folder}/batches")
+    new = batches.filter(F.col("batch") > last).collect()  # one row per batch since the last call
+    if new:
+        line = spark.createDataFrame([(max(r.batch for r in new),)], _REPORTED)
+        line.coalesce(1).write.mode("append").parquet(f"{folder}/reported")
+    return sum((Counts(r.seen, r.dropped, r.failed) for r in new), Counts())
