@@ -109,7 +109,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     first = np.flatnonzero(new & inside)
     row = np.searchsorted(offsets, first, "right") - 1
     count = np.minimum(np.append(first[1:], n), offsets[row] + sizes[row]) - first
-    anchor = least[first]
+    anchor = mix(least[first])  # least hashes are small ones; spread again, groups are even
     if len(count) and count.max() > STRETCH:
         times = -(-count // STRETCH)
         which = np.repeat(np.arange(len(first)), times)
