@@ -1,3 +1,4 @@
+from .chain import CHAIN_FIELDS, NO_ENTRY, NO_RECORD, NOT_LINKED, NOT_THE_END, chain_breaks, chained, ends, kept_heads, seals
 from .clean import ORDER_FIELDS, PROCESSED_AT, conform, contract, stamp, transform_orders
 from .compare import require_same_rows, table_difference
 from .ledger import (
@@ -6,7 +7,10 @@ from .ledger import (
     NO_APPROVER,
     append_attempt,
     blocked_keys,
+    chain_table,
     current_outcomes,
+    ledger_breaks,
+    seal_ledger,
     tampered,
     with_approver_default,
     with_integrity,
@@ -40,6 +44,19 @@ from .requests import (
 )
 
 __all__ = [
+    "CHAIN_FIELDS",
+    "NOT_LINKED",
+    "NOT_THE_END",
+    "NO_ENTRY",
+    "NO_RECORD",
+    "chain_breaks",
+    "chain_table",
+    "chained",
+    "ends",
+    "kept_heads",
+    "ledger_breaks",
+    "seal_ledger",
+    "seals",
     "COMPLETED",
     "FAIL",
     "FAILED",

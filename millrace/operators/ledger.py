@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import record_hash
+from ..sources.tables import scan
+from .chain import CHAIN_SCHEMA, altered, chain_breaks, chain_of, chained, ends, extend, kept_heads, seals
 from .requests import REFRESH_KEY, blocks
 
 # Fixed value: what is recorded when nobody is known to have approved.
@@ -42,7 +44,7 @@ def with_integrity(ledger: DataFrame) -> DataFrame:
 
 def tampered(ledger: DataFrame) -> DataFrame:
     """Rows whose stored hash is missing or is not the hash of their fields."""
-    return ledger.filter(~F.col("integrity").eqNullSafe(record_hash(LEDGER_FIELDS)))
+    return altered(ledger, LEDGER_FIELDS)
 
 
 def current_outcomes(ledger: DataFrame) -> DataFrame:
@@ -76,7 +78,44 @@ def blocked_keys(ledger: DataFrame) -> DataFrame:
     )
 
 
+def chain_table(ledger: str) -> str:
+    """The table of the chain that covers a ledger."""
+    return f"{ledger}_chain"
+
+
 def append_attempt(rows: DataFrame, table: str) -> None:
-    """Add rows to the ledger table with approver and hash filled in. Nothing is replaced."""
-    sealed = with_integrity(with_approver_default(rows))
-    sealed.select(*LEDGER_FIELDS, "integrity").write.mode("append").format("parquet").saveAsTable(table)
+    """Add rows to the ledger table with approver, hash and place in the chain. Nothing is replaced.
+
+    The head moves first and the record comes last: a run that is cut off in between leaves a head without its
+    record, which stops further runs until somebody has looked.
+    """
+    spark = rows.sparkSession
+    sealed = with_integrity(with_approver_default(rows)).select(*LEDGER_FIELDS, "integrity", chain_of().alias("chain"))
+    new = sealed.orderBy("attempt_id", "seq").collect()  # what one call adds: a row, or a few by hand
+    files = seals(spark, table)
+    entries = [(r.chain, *(place := extend(files, r.chain, r.integrity))[:1], r.attempt_id, r.seq, r.integrity, place[1]) for r in new]
+    chain = spark.createDataFrame(entries, CHAIN_SCHEMA).coalesce(1)
+    chain.write.mode("append").format("parquet").saveAsTable(chain_table(table))
+    records = spark.createDataFrame([tuple(r)[:-1] for r in new], f"{LEDGER_SCHEMA}, integrity STRING").coalesce(1)
+    records.write.mode("append").format("parquet").saveAsTable(table)
+
+
+def ledger_breaks(spark: SparkSession, ledger: str) -> DataFrame:
+    """Where a ledger table, its chain and its heads disagree; see ``chain_breaks``. A ledger without a chain is one break per record."""
+    record = scan(spark, ledger, fresh=True)
+    table = chain_table(ledger)
+    chain = scan(spark, table, fresh=True) if spark.catalog.tableExists(table) else spark.createDataFrame([], CHAIN_SCHEMA)
+    return chain_breaks(record, chain, kept_heads(spark, ledger))
+
+
+def seal_ledger(spark: SparkSession, ledger: str) -> None:
+    """Start a chain for a ledger that has none, as one written before there were chains.
+
+    A ledger that has a chain or heads is refused: whoever wants to begin anew has to take both away first.
+    """
+    files = seals(spark, ledger)
+    if spark.catalog.tableExists(chain_table(ledger)) or files.names("heads"):
+        raise ValueError(f"{ledger} has a chain already")
+    chained(scan(spark, ledger, fresh=True)).write.format("parquet").saveAsTable(chain_table(ledger))
+    for row in ends(scan(spark, chain_table(ledger))).collect():  # one per pipeline
+        files.take(f"heads/{row.chain}/{row.position:012d}", row.link)

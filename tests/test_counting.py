@@ -1,0 +1,120 @@
+"""Counts per batch, each row once, wherever a run is cut off."""
+
+from pathlib import Path
+
+import pytest
+
+from millrace.operators import Expectation
+from millrace.plans import Step, current_generation, update
+from millrace.sources import landing_stream
+from millrace.streaming import Counts, append, counted, start_counting, updates
+
+SCHEMA = "order_id STRING, amount STRING"
+VALID = Expectation("has id", "order_id IS NOT NULL")
+PAID = Expectation("paid", "amount IS NOT NULL")
+
+
+@pytest.fixture
+def landing(tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    return folder
+
+
+def land(folder, name, *rows):
+    lines = ('{"order_id": %s, "amount": %s}\n' % tuple("null" if v is None else f'"{v}"' for v in r) for r in rows)
+    (folder / name).write_text("".join(lines))
+
+
+@pytest.fixture
+def steps(spark, landing, database):
+    raw, clean = f"{database}.raw", f"{database}.clean"
+    return [
+        Step(raw, lambda read: landing_stream(spark, str(landing), SCHEMA, batch_bytes=1)),
+        Step(clean, lambda read: read(raw), (VALID, PAID)),
+    ]
+
+
+def cut_off(*args):
+    raise KeyboardInterrupt
+
+
+def total(*runs):
+    return sum(runs, Counts())
+
+
+A = [("1", "1"), (None, "2"), ("3", None), (None, None)]
+
+
+def test_counts_name_each_expectation(spark, landing, steps):
+    land(landing, "a.json", *A)
+    land(landing, "b.json", ("5", "5"))
+    raw, clean = (s.table for s in steps)
+    counts = update(spark, steps).counts
+    assert counts[raw] == Counts(5, 0, {})
+    assert counts[clean] == Counts(5, 3, {"has id": 2, "paid": 2})
+    assert update(spark, steps).counts[clean] == Counts()
+    assert spark.table(clean).count() == 2
+
+
+@pytest.mark.parametrize("where", ["before counting", "before the record", "before the commit", "before the report"])
+def test_a_run_cut_off_anywhere_counts_each_row_once(spark, landing, steps, monkeypatch, where):
+    raw, clean = (s.table for s in steps)
+    land(landing, "a.json", *A)
+    first = update(spark, steps).counts
+    land(landing, "b.json", ("5", "5"), (None, "6"))
+    land(landing, "c.json", ("7", None))
+    generation = current_generation(spark, clean)
+    folder = Path((generation.checkpoint(clean) + "-counts").removeprefix("file:"))
+    with monkeypatch.context() as patch:
+        if where == "before counting":
+            patch.setattr("millrace.plans.pipelines.start_counting", cut_off)
+        else:
+            patch.setattr(updates, "_put_on_record", cut_off)
+        with pytest.raises(KeyboardInterrupt):
+            update(spark, steps)
+    if where in ("before the record", "before the commit") and (folder / "ckpt/commits").exists():
+        last = max(int(p.name) for p in (folder / "ckpt/commits").iterdir() if p.name.isdigit())
+        for name in (str(last), f".{last}.crc"):
+            (folder / "ckpt/commits" / name).unlink(missing_ok=True)
+        if where == "before the record":
+            for path in (folder / f"batches/{last:012d}").iterdir():
+                path.unlink()
+    land(landing, "d.json", (None, "8"))
+    then = update(spark, steps).counts
+    assert total(first[raw], then[raw]).seen == 8
+    assert total(first[clean], then[clean]) == Counts(8, 6, {"has id": 4, "paid": 3})
+    assert update(spark, steps).counts == {raw: Counts(), clean: Counts()}
+    assert spark.table(clean).count() == 2
+
+
+def test_a_first_step_with_expectations_is_counted_too(spark, landing, database):
+    step = Step(f"{database}.clean", lambda read: landing_stream(spark, str(landing), SCHEMA), (VALID,))
+    land(landing, "a.json", *A)
+    assert update(spark, [step]).counts[step.table] == Counts(4, 2, {"has id": 2})
+    land(landing, "b.json", (None, "1"))
+    assert update(spark, [step]).counts[step.table] == Counts(1, 1, {"has id": 1})
+
+
+def test_a_repeated_batch_overwrites_its_own_counts(spark, landing, tmp_path):
+    land(landing, "a.json", *A)
+    stream = landing_stream(spark, str(landing), SCHEMA)
+    data, checkpoint = str(tmp_path / "data"), str(tmp_path / "ckpt")
+    append(stream, data, checkpoint, (VALID,))
+    for _ in range(3):
+        start_counting(stream, data, checkpoint, (VALID,)).awaitTermination()
+        (tmp_path / "ckpt-counts/ckpt/commits/0").unlink()
+        (tmp_path / "ckpt-counts/ckpt/commits/.0.crc").unlink()
+    counting = start_counting(stream, data, checkpoint, (VALID,))
+    assert counted(counting, spark, checkpoint) == Counts(4, 2, {"has id": 2})
+
+
+def test_counting_reads_no_more_than_the_conditions_need(spark, tmp_path):
+    """Without expectations no column is read, with them those they name."""
+    from millrace.operators import expectation_counts
+
+    spark.createDataFrame([("1", "2")], SCHEMA).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.schema(SCHEMA).parquet(str(tmp_path / "rows"))
+    plan = lambda *e: expectation_counts(rows, *e)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan()
+    assert "ReadSchema: struct<order_id:string>" in plan(VALID)

@@ -1,0 +1,92 @@
+"""Tables written in the order of what they read, whatever the order of the steps."""
+
+from itertools import permutations
+
+import pytest
+
+from millrace.plans import CircularTables, Step, UnknownTable, full_refresh, in_order, recompute, update
+from millrace.plans.order import reads
+from millrace.sources import landing_stream
+from millrace.streaming import Counts
+
+SCHEMA = "order_id STRING"
+
+
+@pytest.fixture
+def names(database):
+    return {name: f"{database}.{name}" for name in ("a_last", "middle", "raw", "side")}
+
+
+def diamond(names, rows):
+    """raw -> middle and side -> a_last; the names are not in that order."""
+    return [
+        Step(names["raw"], lambda read: rows(), comment="raw"),
+        Step(names["middle"], lambda read: read(names["raw"]).selectExpr("order_id", "'m' AS via")),
+        Step(names["side"], lambda read: read(names["raw"]).selectExpr("order_id", "'s' AS via")),
+        Step(names["a_last"], lambda read: read(names["middle"]).union(read(names["side"]))),
+    ]
+
+
+def shown(spark, names):
+    return sorted(tuple(r) for r in spark.table(names["a_last"]).collect())
+
+
+def test_any_order_of_steps_gives_the_same_tables(spark, names):
+    for n, order in enumerate(permutations(range(4)), start=1):
+        if n % 5:
+            continue
+        steps = diamond(names, lambda n=n: spark.createDataFrame([(str(i),) for i in range(n)], SCHEMA))
+        done = recompute(spark, [steps[i] for i in order])
+        assert shown(spark, names) == sorted((str(i), via) for i in range(n) for via in "ms")
+        assert done.counts[names["a_last"]] == Counts(2 * n)
+        assert spark.table(names["raw"]).count() == n  # and not what an earlier run left
+
+
+def test_streams_in_any_order(spark, names, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    steps = diamond(names, lambda: landing_stream(spark, str(landing), SCHEMA))
+    (landing / "a.json").write_text('{"order_id": "1"}\n{"order_id": "2"}\n')
+    update(spark, steps[::-1])
+    (landing / "b.json").write_text('{"order_id": "3"}\n')
+    done = update(spark, [steps[i] for i in (2, 0, 3, 1)])
+    assert done.counts[names["raw"]].seen == 1 and done.counts[names["a_last"]].seen == 2
+    assert shown(spark, names) == sorted((str(i), via) for i in (1, 2, 3) for via in "ms")
+    assert full_refresh(spark, steps).counts[names["a_last"]].seen == 6
+
+
+def test_the_order_depends_on_names_and_reads_alone(spark, names):
+    steps = diamond(names, lambda: spark.createDataFrame([], SCHEMA))
+    orders = {tuple(s.table.rpartition(".")[2] for s in in_order(list(p), pytest.fail)) for p in permutations(steps)}
+    assert orders == {("raw", "middle", "side", "a_last")}
+    assert reads(steps, pytest.fail)[names["a_last"]] == {names["middle"], names["side"]}
+
+
+@pytest.mark.parametrize("run", [recompute, update, full_refresh])
+def test_circles_unknown_tables_and_two_steps_of_one_table_are_refused(spark, names, run):
+    def step(name, *sources):
+        def build(read):
+            rows = [read(names[s]) for s in sources]
+            return rows[0] if rows else spark.createDataFrame([], SCHEMA)
+
+        return Step(names[name], build)
+
+    with pytest.raises(CircularTables, match="raw.*middle|middle.*raw"):
+        run(spark, [step("raw", "middle"), step("middle", "side"), step("side", "raw")])
+    with pytest.raises(UnknownTable, match="side"):
+        run(spark, [step("raw"), step("middle", "side")])
+    with pytest.raises(ValueError, match="two steps"):
+        run(spark, [step("raw"), step("raw")])
+    with pytest.raises(ValueError, match="one step"):
+        run(spark, [])
+    if run is not recompute:
+        with pytest.raises(UnknownTable, match="raw"):  # an update of a table from itself would never end
+            run(spark, [step("raw", "raw")])
+    assert not any(spark.catalog.tableExists(t) for t in names.values())
+
+
+def test_a_table_that_no_step_writes_is_read_as_it_is_shown(spark, names):
+    recompute(spark, [Step(names["side"], lambda read: spark.createDataFrame([("9",)], SCHEMA))])
+    done = recompute(spark, [Step(names["middle"], lambda read: read(names["side"]))])
+    assert done.counts == {names["middle"]: Counts(1)}
+    assert [r.order_id for r in spark.table(names["middle"]).collect()] == ["9"]
