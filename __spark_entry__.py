@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pathlib import Path
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The package lies beside this file, which may be loaded from anywhere.
@@ -24,10 +24,14 @@ from millrace.operators import (
     PROCESSED_AT,
     VALID_ORDER_ID,
     blocked_keys,
+    chain_breaks,
+    chain_of,
+    chained,
     column_report,
     conform,
     contract,
     current_outcomes,
+    ends,
     expect_or_drop,
     expectation_counts,
     refresh_decision,
@@ -46,6 +50,7 @@ from millrace.plans import (
     Step,
     Update,
     create_layers,
+    current_generation,
     full_refresh as refresh_all,
     governed_refresh as release,
     orders_pipeline,
@@ -54,6 +59,7 @@ from millrace.plans import (
     update,
 )
 from millrace.session import pin, shared_folder
+from millrace.streaming import append
 from millrace.sources import landing_path, landing_stream, orders_raw, read_landing, scan, source_path
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -287,6 +293,36 @@ def update_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.counts({"first": first, "second": second, "idle": idle})
 
 
+def update_counts_cut_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run ends after it wrote the raw rows and before it counted any; the next one counts them."""
+    place = _Workplace(spark, "update_counts_cut_off")
+    early, late = _land_early_and_late(place, sf_dir)
+    early()
+    first = update(spark, place.streamed())
+    late()
+    generation = current_generation(spark, place.bronze)
+    landed = read_landing(spark, f"{place.folder}/landing")
+    append(landed, generation.data(place.raw), generation.checkpoint(place.raw))
+    second = update(spark, place.streamed())
+    idle = update(spark, place.streamed())
+    return place.counts({"first": first, "second": second, "idle": idle})
+
+
+def steps_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables, written again from more rows with the steps the wrong way round."""
+    place = _Workplace(spark, "steps_out_of_order")
+    priced = target("dev", "bronze", "a_priced", place.user)
+
+    def steps(rows: DataFrame) -> tuple[Step, ...]:
+        known = Step(priced, lambda read: read(place.bronze).filter("amount IS NOT NULL"))
+        return (*orders_pipeline(lambda: rows, place.raw, place.bronze), known)
+
+    raw = raw_orders(spark, sf_dir)
+    recompute(spark, steps(raw.filter("order_ts < '1996-01-01'")))
+    recompute(spark, steps(raw)[::-1])
+    return _comparable(scan(spark, priced))
+
+
 def full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _Workplace(spark, "full_refresh")
     early, late = _land_early_and_late(place, sf_dir)
@@ -468,6 +504,32 @@ def ledger_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered(altered).select("attempt_id", "seq")
 
 
+def ledger_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records taken out of the ledger, out of the chain too, off its end, and entries that changed places."""
+    folder = shared_folder(pin(spark), "ledger_breaks")
+    with_integrity(with_approver_default(_ledger(spark, sf_dir))).write.parquet(f"{folder}/ledger")
+    sealed = spark.read.parquet(f"{folder}/ledger")
+    chained(sealed).write.parquet(f"{folder}/chain")
+    chain = spark.read.parquet(f"{folder}/chain")
+    heads = ends(chain)
+    event_id, seq = F.substring("attempt_id", 2, 20).cast("long"), F.col("seq")
+    from_both = (event_id % 70 == 3) & (seq == 1)
+    length = heads.select("chain", F.col("position").alias("length"))
+    ended = chain.join(length, "chain").filter((F.col("position") == F.col("length")) & (event_id % 11 == 0))
+    ended = ended.select("attempt_id", "seq")
+    both = F.count("*").over(Window.partitionBy("chain", "attempt_id")) == 2
+    moved = (
+        F.when((event_id % 90 == 4) & both & (seq == 1), F.col("position") + 1)
+        .when((event_id % 90 == 4) & both & (seq == 2), F.col("position") - 1)
+        .otherwise(F.col("position"))
+    )
+    ledger = sealed.filter(~from_both & ~((event_id % 50 == 0) & (seq == 2))).join(ended, ["attempt_id", "seq"], "left_anti")
+    left = chain.withColumn("position", moved).filter(~from_both).join(ended, ["attempt_id", "seq"], "left_anti")
+    key = sealed.select("pipeline_key").distinct().withColumn("chain", chain_of())
+    breaks = chain_breaks(ledger, left, heads)
+    return breaks.join(key, "chain").select("pipeline_key", "position", "attempt_id", "seq", "problem")
+
+
 def approver_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_approver_default(_ledger(spark, sf_dir)).select(*LEDGER_FIELDS)
 
@@ -576,6 +638,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "landing_incremental": landing_incremental,
         "landing_forms": landing_forms,
         "update_counts": update_counts,
+        "update_counts_cut_off": update_counts_cut_off,
+        "steps_out_of_order": steps_out_of_order,
         "full_refresh": full_refresh,
         "release_tags": tags_of_releases,
         "refresh_decision": decisions,
@@ -586,6 +650,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "eligible_from_ledger": eligible_from_ledger,
         "ledger_integrity": ledger_integrity,
         "ledger_tampered": ledger_tampered,
+        "ledger_breaks": ledger_breaks,
         "approver_default": approver_default,
         "releases_to_run": releases_to_run,
         "governed_refresh": governed_refresh,
@@ -788,6 +853,8 @@ def _own_sql() -> dict[str, str]:
                    CASE WHEN form IN (0, 1, 3) THEN o_orderdate END AS order_ts
             FROM (SELECT *, o_orderkey % 8 AS form FROM orders) WHERE form < 5""",
         "update_counts": _update_counts_sql(),
+        "update_counts_cut_off": _update_counts_sql(),
+        "steps_out_of_order": f"SELECT * FROM ({_BRONZE}) WHERE amount IS NOT NULL",
         "full_refresh": _BRONZE,
         "release_tags": """
             SELECT DISTINCT o_orderkey % 11 || '.' || o_orderkey % 29 || '.' || o_orderkey % 997 AS tag
@@ -822,6 +889,26 @@ def _own_sql() -> dict[str, str]:
             numbered AS (SELECT *, CAST(substr(attempt_id, 2) AS BIGINT) AS event_id FROM ledger)
             SELECT attempt_id, seq FROM numbered
             WHERE event_id % 50 = 0 OR event_id % 70 = 3 OR event_id % 90 = 4""",
+        "ledger_breaks": f"""
+            WITH {_ledger_sql()},
+            placed AS (SELECT *, CAST(substr(attempt_id, 2) AS BIGINT) AS event_id,
+                              row_number() OVER (PARTITION BY pipeline_key ORDER BY attempt_id, seq) AS place,
+                              count(*) OVER (PARTITION BY pipeline_key) AS length,
+                              count(*) OVER (PARTITION BY pipeline_key, attempt_id) = 2 AS paired FROM ledger),
+            gone AS (SELECT *, event_id % 70 = 3 AND seq = 1 OR event_id % 11 = 0 AND place = length AS off,
+                            place + CASE WHEN event_id % 90 = 4 AND paired THEN 3 - 2 * seq ELSE 0 END AS position FROM placed),
+            chain AS (SELECT * FROM gone WHERE NOT off),
+            last AS (SELECT pipeline_key, max(position) AS position, arg_max(place, position) AS place FROM chain GROUP BY pipeline_key)
+            SELECT pipeline_key, position, attempt_id, seq, 'the ledger has no such record' AS problem
+            FROM chain WHERE event_id % 50 = 0 AND seq = 2
+            UNION ALL
+            SELECT c.pipeline_key, c.position, c.attempt_id, c.seq, 'does not follow the entry before'
+            FROM chain c LEFT JOIN chain b ON b.pipeline_key = c.pipeline_key AND b.position = c.position - 1
+            WHERE NOT (c.position = 1 AND c.place = 1 OR coalesce(b.place = c.place - 1, FALSE))
+            UNION ALL
+            SELECT h.pipeline_key, h.length, NULL, NULL, 'is not where the chain ends'
+            FROM (SELECT DISTINCT pipeline_key, length FROM placed) h LEFT JOIN last l USING (pipeline_key)
+            WHERE NOT coalesce(l.position = h.length AND l.place = h.length, FALSE)""",
         "approver_default": f"""
             WITH {_ledger_sql()}
             SELECT * REPLACE (coalesce(approver, 'unknown (no pull request found)') AS approver) FROM ledger""",

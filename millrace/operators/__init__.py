@@ -1,4 +1,4 @@
-from .chain import CHAIN_FIELDS, NO_ENTRY, NO_RECORD, NOT_LINKED, NOT_THE_END, chain_breaks, chained, ends, kept_heads, seals
+from .chain import CHAIN_FIELDS, NO_ENTRY, NO_RECORD, NOT_LINKED, NOT_THE_END, chain_breaks, chain_of, chained, ends, kept_heads, seals
 from .clean import ORDER_FIELDS, PROCESSED_AT, conform, contract, stamp, transform_orders
 from .compare import require_same_rows, table_difference
 from .ledger import (
@@ -50,6 +50,7 @@ __all__ = [
     "NO_ENTRY",
     "NO_RECORD",
     "chain_breaks",
+    "chain_of",
     "chain_table",
     "chained",
     "ends",
