@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,14 @@ def lower_ascii(text: Column) -> Column:
 def same(left, right, *names: str) -> Column:
     """Join condition on columns of the same names, nulls being equal."""
     return reduce(Column.__and__, (left[n].eqNullSafe(right[n]) for n in names))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in either case of letters."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found

@@ -21,7 +21,7 @@ from .quality import POLICIES, ledger, verdict
 from .quotes import link_quotes
 from .repeats import remove_repeats
 from .token_counts import count_tokens
-from .toxicity import HELD_OUT, fit, fold, score_toxicity
+from .toxicity import HELD_OUT, fold, learn_and_score
 from .url_filter import judge_urls
 from .whitening import whiten
 from .workers import ship
@@ -63,7 +63,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = learn_and_score(docs, table(spark, sf_dir, "labels"))
     return scored.select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"),

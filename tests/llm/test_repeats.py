@@ -7,7 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.repeats import hashes, in_earlier, marks, pack, remove_repeats, stretches, unpack
+from millrace.llm.packing import pack, unpack
+from millrace.llm.repeats import hashes, in_earlier, marks, remove_repeats, stretches
 
 
 def plain(rows, length):
