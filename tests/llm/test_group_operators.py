@@ -177,6 +177,25 @@ def test_every_prefix_is_less_than_one_block_off(weights):
     assert dict(count) == whole
 
 
+@pytest.mark.parametrize("n", [440, 460, 480, 500])
+def test_many_sources_of_falling_size_are_planned_whole(n):
+    sizes = {f"s{i}": 1 + 4_000_000 // (i + 1) ** 2 for i in range(n)}
+    whole = integer_weights(sizes)
+    assert min(whole.values()) >= 1 and sum(whole.values()) == 1000
+    blocks = {s: -(-k // 4000) for s, k in sizes.items()}
+    phases, frames = plan({s: k**0.5 for s, k in sizes.items()}, blocks)
+    slot = {(p, s, i): x for p, s, i, x in frames}
+    taken = [at + (j - first) // w * size + slot[p, s, (j - first) % w] for s, first, end, w, p, at, size in phases for j in range(first, end)]
+    assert sorted(taken) == list(range(sum(blocks.values())))
+
+
+@pytest.mark.parametrize("n", [460, 501])
+def test_a_mix_of_many_sources_of_falling_size_is_whole(spark, n):
+    rows = [(k, f"s{i}") for i in range(n) for k in range(1 + 2000 // (i + 1) ** 2)]
+    found = mix(frame(spark, rows, "doc_id long, source string")).collect()
+    assert Counter((r.doc_id, r.source) for r in found) == Counter(rows) and len({r.position for r in found}) == len(rows)
+
+
 def test_plan_places_every_block_once():
     blocks = {"a": 700, "b": 41, "c": 3, "d": 0}
     phases, frames = plan({"a": 1.0, "b": 1.0, "c": 4.0, "d": 1.0}, blocks, 50)
