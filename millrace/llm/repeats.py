@@ -23,7 +23,6 @@ group holds more than one block's text or, per block, one stretch of each kind.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import pack, unpack
+from .packing import SENT, answered, block_size, bucket_of, messages, pack, sent, starts_of, steps, unpack
 from .words import mix, pieces
 
 LENGTH = 50
@@ -40,8 +39,8 @@ GRAM = 18
 HOT = 4096
 #: At most so many strings in a row are one stretch; their marks are one number.
 STRETCH = 32
-#: Bounds of a block's bytes; between them it grows with the root of the corpus, as the number of messages is its square.
-LEAST_BLOCK, MOST_BLOCK, ROOTS = 1 << 20, 1 << 27, 64
+#: Bounds of a block's bytes.
+LEAST_BLOCK, MOST_BLOCK = 1 << 20, 1 << 27
 _KEY_BITS = 48
 _NO_ID = np.iinfo(np.int64).max
 
@@ -49,10 +48,6 @@ _U64 = np.uint64
 _C = _U64(0x9E3779B97F4A7C15)
 
 
-def _steps(sorted_: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_, prepend=sorted_.dtype.type(0))
-
-
 # --- strings and their anchors
 
 
@@ -140,11 +135,6 @@ class Block:
         self.document = document[self.row]
         self.keys, self.which = np.unique(self.anchor >> _U64(64 - _KEY_BITS), return_inverse=True)
 
-    def of_buckets(self, keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-        """Where each bucket begins among sorted keys of so many bits."""
-        top = (keys >> _U64(bits - 32)) * _U64(buckets) >> _U64(32)
-        return np.searchsorted(top, np.arange(buckets + 1, dtype=np.uint64))
-
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per key its least and greatest document and the number of its stretches."""
         low = np.full(len(self.keys), _NO_ID)
@@ -248,27 +238,6 @@ def marks(texts: np.ndarray, key: np.ndarray, count: np.ndarray, document: np.nd
 # --- what blocks and groups do
 
 
-def _messages(block: int, starts: np.ndarray, made) -> Iterator[tuple[int, int, bytes]]:
-    for bucket in np.flatnonzero(starts[1:] > starts[:-1]):
-        yield block, int(bucket), made(slice(starts[bucket], starts[bucket + 1]))
-
-
-def _sent(rows) -> pa.Table:
-    block, bucket, blob = zip(*rows) if (rows := list(rows)) else ((), (), ())
-    return pa.table({"block": pa.array(block, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "blob": pa.array(blob, pa.binary())})
-
-
-def _answered(answers: pa.Table, starts: np.ndarray, kind: type) -> np.ndarray:
-    """Answers of all buckets put at their places; what has no answer is 0."""
-    out = np.zeros(starts[-1], kind)
-    for bucket, blob in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()):
-        out[starts[bucket] : starts[bucket + 1]] = unpack(blob, kind)[0][0]
-    return out
-
-
-_SENT = "block bigint, bucket bigint, blob binary"
-
-
 def remove_repeats(
     docs: DataFrame, *, doc: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
     block_bytes: int | None = None,
@@ -290,7 +259,7 @@ def remove_repeats(
     if str(docs.schema[doc].dataType.typeName()) not in ("long", "integer", "short", "byte"):
         raise ValueError(f"{doc} must be a whole number")
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("bigint")).alias("n")).first()["n"] or 0
-    size = block_bytes or min(max(LEAST_BLOCK, int(ROOTS * total**0.5)), MOST_BLOCK)
+    size = block_bytes or block_size(total, LEAST_BLOCK, MOST_BLOCK)
     blocks = max(1, -(-total // size))
     parts = max(1, -(-total // max(16 << 20, 2 * size)))
     dealt = docs.select(
@@ -306,9 +275,9 @@ def remove_repeats(
     def send_anchors(table: pa.Table) -> pa.Table:
         block = Block(table, length, gram)
         low, high, n = block.anchors()
-        starts = block.of_buckets(block.keys, _KEY_BITS, blocks)
-        return _sent(_messages(name(table), starts, lambda s: pack(
-            _steps(block.keys[s]), low[s], high[s] - low[s], np.minimum(n[s], 1 << 30).astype(np.uint32)
+        starts = starts_of(bucket_of(block.keys, blocks, _KEY_BITS), blocks)
+        return sent(messages(name(table), starts, lambda s: pack(
+            steps(block.keys[s]), low[s], high[s] - low[s], np.minimum(n[s], 1 << 30).astype(np.uint32)
         )))
 
     def find_shared(table: pa.Table) -> pa.Table:
@@ -324,22 +293,22 @@ def remove_repeats(
         codes = np.zeros(len(key), np.uint8)
         codes[order] = code
         bucket = table.column("bucket")[0].as_py()
-        return _sent((b, bucket, pack(c)) for b, c in zip(table.column("block").to_pylist(), np.split(codes, ends[:-1])) if c.any())
+        return sent((b, bucket, pack(c)) for b, c in zip(table.column("block").to_pylist(), np.split(codes, ends[:-1])) if c.any())
 
     def prepared(texts: pa.Table, shared: pa.Table) -> tuple[Block, Entries, np.ndarray]:
         block = Block(texts, length, gram)
-        codes = _answered(shared, block.of_buckets(block.keys, _KEY_BITS, blocks), np.uint8)
+        codes = answered(shared, starts_of(bucket_of(block.keys, blocks, _KEY_BITS), blocks), np.uint8)
         found = entries(block, codes)
-        return block, found, block.of_buckets(found.key, 64, blocks)
+        return block, found, starts_of(bucket_of(found.key, blocks), blocks)
 
     def send_stretches(texts: pa.Table, shared: pa.Table) -> pa.Table:
         block, found, starts = prepared(texts, shared)
 
         def packed(s: slice) -> bytes:
             covered = gathered(block.data, found.at[s], found.count[s] + length - 1)
-            return pack(_steps(found.key[s]), found.document[s], found.count[s].astype(np.uint8), tail=covered.tobytes())
+            return pack(steps(found.key[s]), found.document[s], found.count[s].astype(np.uint8), tail=covered.tobytes())
 
-        return _sent(_messages(name(texts), starts, packed))
+        return sent(messages(name(texts), starts, packed))
 
     def find_earlier(table: pa.Table) -> pa.Table:
         got = [unpack(blob, np.uint64, np.int64, np.uint8) for blob in table.column("blob").to_pylist()]
@@ -348,12 +317,12 @@ def remove_repeats(
         document, count = (np.concatenate([g[0][i] for g in got]) for i in (1, 2))
         found = marks(np.concatenate([g[1] for g in got]), key, count.astype(np.int64), document, length)
         bucket = table.column("bucket")[0].as_py()
-        return _sent((b, bucket, pack(m)) for b, m in zip(table.column("block").to_pylist(), np.split(found, ends[:-1])) if m.any())
+        return sent((b, bucket, pack(m)) for b, m in zip(table.column("block").to_pylist(), np.split(found, ends[:-1])) if m.any())
 
     def cut(texts: pa.Table, answers: pa.Table) -> pa.Table:
         first = pa.compute.equal(answers.column("stage"), 1)
         block, found, starts = prepared(texts, answers.filter(first))
-        mark = _answered(answers.filter(pa.compute.invert(first)), starts, np.uint32)[found.source].astype(np.int64)
+        mark = answered(answers.filter(pa.compute.invert(first)), starts, np.uint32)[found.source].astype(np.int64)
         every = (np.int64(1) << found.count[found.source]) - 1
         mark = np.where(found.source_document > found.document[found.source], every, mark)
         change = np.zeros(len(block.data) + 1, np.int32)
@@ -364,9 +333,9 @@ def remove_repeats(
         goes = np.cumsum(change[:-1]) > 0
         return _cut_out(texts, block, goes)
 
-    shared = dealt.groupBy("block").applyInArrow(send_anchors, _SENT).groupBy("bucket").applyInArrow(find_shared, _SENT)
-    sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_stretches, _SENT)
-    earlier = sent.groupBy("bucket").applyInArrow(find_earlier, _SENT)
+    shared = dealt.groupBy("block").applyInArrow(send_anchors, SENT).groupBy("bucket").applyInArrow(find_shared, SENT)
+    stretches_ = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_stretches, SENT)
+    earlier = stretches_.groupBy("bucket").applyInArrow(find_earlier, SENT)
     answers = shared.withColumn("stage", F.lit(1)).unionAll(earlier.withColumn("stage", F.lit(2)))
     kind = docs.schema[doc].dataType.simpleString()
     out = f"_id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
