@@ -61,7 +61,7 @@ def _fingerprints(hashes: Column, length: int, k: int) -> Column:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", window: int = 10, k: int = 5,
+    item_text: str = "text", window: int = 10, k: int = 5, least: int = 1,
 ) -> DataFrame:
     """Per document: ``n_words``, ``n_hit`` (words inside a shared window) and ``items`` (ids, sorted as text).
 
@@ -71,13 +71,13 @@ def contaminated(
     different texts are told apart. An empty benchmark gives no hits.
 
     Only (id, hash) rows are shuffled in the search, and only documents with a matching
-    fingerprint are read again. Joins are on hashes; sides that turn out small are
+    fingerprint are read again. Items of fewer than ``least`` words match nothing; others of fewer than ``window`` are one window. Joins are on hashes; sides that turn out small are
     broadcast by their measured size, and a hash that very many documents share is
     split by the skew join.
     """
     key = (doc, "text_hash")
     side = benchmark.select(F.col(item).alias("item"), word_hashes(F.col(item_text)).alias("w"))
-    side = materialise(side.where(F.size("w") > 0), "benchmark-words")
+    side = materialise(side.where(F.size("w") >= max(least, 1)), "benchmark-words")
     lengths = side.select(F.least(F.size("w"), F.lit(window)).alias("n")).distinct()
     lengths = sorted(r.n for r in lengths.collect())  # at most ``window`` numbers
     docs = docs.select(F.col(doc), F.col(text).alias("_text"), F.xxhash64(text).alias("text_hash"))

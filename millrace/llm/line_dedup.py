@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import fresh
 from .storage import materialise
 
 #: A line is boilerplate on more than this share of a site's pages ...
@@ -37,12 +38,16 @@ def boilerplate(
     site = F.col(site) if isinstance(site, str) else site
     text = F.col(text) if isinstance(text, str) else text
     pages = pages.select(site.alias("site"), text.alias("text")).where(F.col("site").isNotNull())
+    keys = F.array_distinct(F.transform(_visible(F.split("text", "\n", -1)), line_key))
     if copies_once:
-        # Copies are merged in each task before the shuffle, so a large group of them is a few rows.
-        pages = pages.groupBy("site", F.xxhash64("text")).agg(F.first("text").alias("text"))
+        # Copies are merged in each task before the shuffle, so a large group of them is a few rows; of a text only the
+        # hashes of its lines are shuffled.
+        pages = pages.select("site", F.xxhash64("text").alias("copy"), keys.alias("keys"))
+        pages = pages.groupBy("site", "copy").agg(F.first("keys").alias("keys"))
+    else:
+        pages = pages.select("site", keys.alias("keys"))
     totals = pages.groupBy("site").agg(F.count("*").alias("site_pages"))
-    keys = F.array_distinct(F.transform(_visible(F.split("text", "\n", -1)), line_key))
-    lines = pages.select("site", F.explode(keys).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n_pages"))
+    lines = pages.select("site", F.explode("keys").alias("line")).groupBy("site", "line").agg(F.count("*").alias("n_pages"))
     # A site of few pages is asked first: most lines stand on one page and need no join.
     often = lines.where(F.col("n_pages") >= min_pages)
     return often.join(totals, "site").where(F.col("n_pages") > F.lit(max_ratio) * F.col("site_pages"))
@@ -73,16 +78,17 @@ def drop_boilerplate(
     the lists if they measure small and splits large sites otherwise.
     """
     found = boilerplate(pages, site=site, text=text, max_ratio=max_ratio, min_pages=min_pages, copies_once=copies_once)
-    lists = materialise(found.groupBy("site").agg(F.collect_list("line").alias("_lines")), "boilerplate")
-    joined = pages.join(lists.withColumnRenamed("site", "_site"), F.col(site) == F.col("_site"), "left")
+    lists = materialise(found.groupBy("site").agg(F.collect_list("line").alias("lines")), "boilerplate")
+    of, lines, left = fresh(pages, "site_of_lines", "boilerplate_lines", "kept_lines")
+    joined = pages.join(lists.select(F.col("site").alias(of), F.col("lines").alias(lines)), F.col(site) == F.col(of), "left")
     parts = F.split(text, "\n", -1)
-    kept = F.filter(parts, lambda line: ~F.array_contains("_lines", line_key(line)))
-    hit = F.col("_lines").isNotNull() & F.col(text).isNotNull()
-    cleaned = joined.withColumn("_kept", F.when(hit, kept))
+    kept = F.filter(parts, lambda line: ~F.array_contains(lines, line_key(line)))
+    hit = F.col(lines).isNotNull() & F.col(text).isNotNull()
+    cleaned = joined.withColumn(left, F.when(hit, kept))
     if keep_emptied:
-        cleaned = cleaned.withColumn("_kept", F.when(F.size(_visible(F.col("_kept"))) > 0, F.col("_kept")).otherwise(F.when(hit, parts)))
-    count = F.when(hit, F.size(F.split(text, "\n", -1)) - F.size("_kept")).otherwise(0).cast("bigint")
+        cleaned = cleaned.withColumn(left, F.when(F.size(_visible(F.col(left))) > 0, F.col(left)).otherwise(F.when(hit, parts)))
+    count = F.when(hit, F.size(F.split(text, "\n", -1)) - F.size(left)).otherwise(0).cast("bigint")
     if dropped:
         cleaned = cleaned.withColumn(dropped, count)
-    cleaned = cleaned.withColumn(text, F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    return cleaned.drop("_site", "_lines", "_kept")
+    cleaned = cleaned.withColumn(text, F.when(hit, F.array_join(left, "\n")).otherwise(F.col(text)))
+    return cleaned.drop(of, lines, left)

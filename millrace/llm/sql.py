@@ -25,16 +25,8 @@ def _url_filter() -> str:
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
     values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
-    rounds = "".join(
-        f""",
-s{i} AS (SELECT kind, host, CAST(sum(score) AS BIGINT) AS score FROM (
-    SELECT e.kind, e.target AS host, floor(CAST(score AS DOUBLE) * CAST(0.85 AS DOUBLE) * weight / total) AS score
-    FROM e JOIN s{i - 1} USING (kind, host)
-    UNION ALL SELECT kind, host, floor(CAST(score AS DOUBLE) * (1 - CAST(0.85 AS DOUBLE))) FROM s0) GROUP BY kind, host)"""
-        for i in range(1, 11)
-    )
     return f"""
-WITH rules(verdict, h, p) AS (VALUES {values}),
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES {values}),
 u AS (SELECT row_number() OVER () AS r, page_id, html,
         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), {_ASCII}) AS host,
         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
@@ -50,8 +42,17 @@ links AS (SELECT source, target, count(*) AS weight FROM (
     FROM m) WHERE source <> '' AND source <> target GROUP BY source, target),
 both_ways AS (SELECT 'trust' AS kind, source AS host, target, weight FROM links
               UNION ALL SELECT 'distrust', target, source, weight FROM links),
-e AS (SELECT *, sum(weight) OVER (PARTITION BY kind, host) AS total FROM both_ways){rounds},
-ends AS (SELECT * FROM s10 WHERE (SELECT count(*) FROM links) > 0 UNION ALL SELECT * FROM s0 WHERE (SELECT count(*) FROM links) = 0),
+e AS (SELECT *, sum(weight) OVER (PARTITION BY kind, host) AS total FROM both_ways),
+s AS (
+  SELECT 0 AS round, kind, host, score FROM s0
+  UNION ALL
+  SELECT round, kind, host, CAST(sum(score) AS BIGINT) FROM (
+    SELECT round + 1 AS round, e.kind, e.target AS host, floor(CAST(score AS DOUBLE) * CAST(0.85 AS DOUBLE) * weight / total) AS score
+    FROM e JOIN s USING (kind, host) WHERE round < 100
+    UNION ALL SELECT round, kind, host, floor(CAST(score AS DOUBLE) * (1 - CAST(0.85 AS DOUBLE)))
+    FROM s0, (SELECT DISTINCT round + 1 AS round FROM s WHERE round < 100) WHERE (SELECT count(*) FROM links) > 0)
+  GROUP BY round, kind, host),
+ends AS (SELECT kind, host, score FROM s WHERE round = (SELECT max(round) FROM s)),
 bad AS (SELECT host FROM ends GROUP BY host
         HAVING coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) > coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict

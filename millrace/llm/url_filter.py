@@ -5,22 +5,25 @@ from the blocked hosts against the links, for who links to bad hosts is suspect.
 blocked where its distrust is greater than its trust.
 
 Scores are whole numbers (parts of ``MASS``), rounded down per link, so they are equal
-in every run, whatever the order of summation.
+in every run, whatever the order of summation. Rounds go on until scores change by no more than ``TOLERANCE`` of
+all there is; what has not arrived by then is less than that in all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import lower_ascii
+from .columns import fresh, lower_ascii
 from .storage import materialise
 
 MASS = 10**15
 DAMPING = 0.85
-ROUNDS = 10
+#: Share of ``MASS`` that scores may still change by, summed over hosts, when the rounds end.
+TOLERANCE = 1e-6
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s>]+)"
 
@@ -55,8 +58,8 @@ def host_links(pages: DataFrame, *, host: str = "host", html: str = "html") -> D
     return links.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Scores by ``kind`` and ``host`` after the given rounds.
+def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Scores by ``kind`` and ``host``, when they have settled.
 
     ``seeds``: kind (``trust`` or ``distrust``), host and share (whole numbers, up to ``MASS`` per kind). Both
     kinds travel in one table, trust along the links and distrust against them. Each
@@ -71,13 +74,20 @@ def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, r
     out = edges.groupBy("kind", "host").agg(F.sum("weight").alias("total"))
     edges = materialise(edges.join(out, ["kind", "host"]), "host-edges")
     base = seeds.select("kind", "host", F.col("share").alias("score"))
+    none = F.lit(0).cast("bigint")
     scores = base
-    for _ in range(rounds):
+    # Each round passes on no more than ``damping`` of what the last one changed, so this many are always enough.
+    for _ in range(math.ceil(math.log(tolerance) / math.log(damping)) + 1):
         passed = F.floor(F.col("score").cast("double") * F.lit(damping) * F.col("weight") / F.col("total"))
-        moved = edges.join(scores, ["kind", "host"]).select("kind", F.col("to").alias("host"), passed.alias("score"))
-        kept = base.select("kind", "host", F.floor(F.col("score").cast("double") * F.lit(1 - damping)).alias("score"))
-        scores = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        scores = materialise(scores, "host-scores")
+        moved = edges.join(scores, ["kind", "host"]).select("kind", F.col("to").alias("host"), passed.alias("score"), none.alias("was"))
+        kept = base.select("kind", "host", F.floor(F.col("score").cast("double") * F.lit(1 - damping)).alias("score"), none.alias("was"))
+        before = scores.select("kind", "host", none.alias("score"), F.col("score").alias("was"))
+        summed = moved.unionByName(kept).unionByName(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was"))
+        summed = materialise(summed, "host-scores")
+        change = summed.agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("change")).first()["change"] or 0
+        scores = summed.select("kind", "host", "score")
+        if change <= tolerance * MASS:
+            break
     return scores
 
 
@@ -93,24 +103,25 @@ def judge_urls(
     Repeated rows count as pages of their own. Columns of the four names are replaced.
     """
     pages = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    pages = pages.withColumn("_match", matching_rule(F.col("host"), F.col("path"), rules))
+    match, bad_host = fresh(pages, "match", "bad_host")
+    pages = pages.withColumn(match, matching_rule(F.col("host"), F.col("path"), rules))
     by_host = pages.where(F.col("host") != "").groupBy("host").agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("_match.verdict") == "allow").alias("allowed"),
-        F.count_if(F.col("_match.verdict") == "block").alias("blocked"),
+        F.count_if(F.col(f"{match}.verdict") == "allow").alias("allowed"),
+        F.count_if(F.col(f"{match}.verdict") == "block").alias("blocked"),
     )
     of = lambda kind, n: by_host.where(F.col(n) > F.lit(seed_share) * F.col("n")).select(F.lit(kind).alias("kind"), "host")
     seeds = materialise(of("trust", "allowed").unionByName(of("distrust", "blocked")), "url-seeds")
     sizes = {r["kind"]: r["count"] for r in seeds.groupBy("kind").count().collect()}  # at most two rows
     share = F.when(F.col("kind") == "trust", MASS // sizes.get("trust", 1)).otherwise(MASS // sizes.get("distrust", 1))
     scores = propagate(host_links(pages, html=html), seeds.withColumn("share", share))
-    bad = scores.groupBy(F.col("host").alias("_host")).agg(
+    bad = scores.groupBy(F.col("host").alias(bad_host)).agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0)).alias("distrust"),
     )
-    bad = bad.where(F.col("distrust") > F.col("trust")).select("_host")
-    judged = pages.join(bad, F.col("host") == F.col("_host"), "left")
-    method = F.when(F.col("_host").isNotNull(), "block").otherwise("allow")
+    bad = bad.where(F.col("distrust") > F.col("trust")).select(bad_host)
+    judged = pages.join(bad, F.col("host") == F.col(bad_host), "left")
+    method = F.when(F.col(bad_host).isNotNull(), "block").otherwise("allow")
     return judged.withColumns(
-        {"rule": F.col("_match.rule"), "verdict": F.coalesce(F.col("_match.verdict"), method)}
-    ).drop("_match", "_host")
+        {"rule": F.col(f"{match}.rule"), "verdict": F.coalesce(F.col(f"{match}.verdict"), method)}
+    ).drop(match, bad_host)

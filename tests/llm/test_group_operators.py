@@ -163,6 +163,28 @@ def test_rules_then_links(spark):
     assert judge_urls(frame(spark, [], "url string, html string"), RULES).collect() == []
 
 
+def test_distrust_arrives_however_long_the_chain_and_in_circles(spark):
+    link = '<a href="//{}/p">t</a>'.format
+    hosts = [f"h{i}.org" for i in range(16)]
+    chain = [(f"http://{h}/", link(to)) for h, to in zip(hosts, [*hosts[1:], "bad.com"])] + [("http://bad.com/", "")]
+    circle = [("http://a.net/", link("b.net")), ("http://b.net/", link("a.net") + link("good.com")), ("http://good.com/", link("a.net"))]
+    rows = [(i, *p) for i, p in enumerate(chain + circle)]
+    judged = {r.host: r.verdict for r in judge_urls(frame(spark, rows, "page_id long, url string, html string"), RULES).collect()}
+    assert {h for h, v in judged.items() if v == "block"} == {*hosts, "bad.com"}
+
+
+def test_inner_names_may_be_columns(spark):
+    extra = {n: F.lit(n) for n in ("match", "Bad_Host", "score", "_host", "a", "b", "x", "evidence", "lines", "kept_lines", "_group", "_number", "c0", "_hash")}
+    docs = frame(spark, [(i, "http://h/", "a b c", "s") for i in range(6)], "doc_id long, url string, text string, source string").withColumns(extra)
+    results = [
+        judge_urls(docs, RULES, html="text"), drop_boilerplate(docs), mix(docs),
+        score_toxicity(docs, fit(docs, docs.select("doc_id", F.lit(1).alias("toxic"))), score="s"),
+    ]
+    for found in results:
+        row = found.first().asDict()
+        assert found.count() == 6 and all(row[n] == n for n in extra)
+
+
 # --- mixing
 
 
