@@ -89,3 +89,39 @@ def test_rare_spellings_count_in_any_size_of_corpus(spark):
     labelled = spark.createDataFrame(rows, "text string, toxic int")
     ratios = [r.ratio for r in class_models(labelled).collect()]
     assert len(ratios) == len("zagfuk") + len("ordinary") + 2 and sum(ratios) > 0
+
+
+# --- what the pipeline may drop
+
+
+def near_copies(n, seed=3):
+    pick = random.Random(seed)
+    base = [f"w{pick.randrange(10**6)}" for _ in range(60)]
+    copies = []
+    for i in range(n):
+        words = list(base)
+        words[i % 60] = f"v{i}"
+        copies.append(" ".join(words))
+    return copies
+
+
+def test_near_copies_without_ids_or_with_shared_ids_are_one(spark):
+    copies = near_copies(20)
+    other = " ".join(f"x{i}" for i in range(40))
+    rows = [(None, t) for t in copies] + [(7, other), (8, None), (8, None), (None, "")]
+    left = lambda rows: corpus_pipeline.keep_one_of_near_copies(
+        spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS), ""
+    ).collect()
+    found = left(rows)
+    assert sum(r.text in copies for r in found) == 1
+    assert sorted((r.doc_id or 0, r.text or "") for r in found if r.text not in copies) == [(0, ""), (7, other), (8, "")]
+    found = left([(1, copies[0]), (1, copies[1]), (2, copies[2]), (None, copies[3])])
+    assert len(found) == 1 and found[0].doc_id == 1
+
+
+def test_an_item_of_few_words_drops_no_document(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(12))
+    spark.createDataFrame([("a", "yes"), ("b", "nine words are not enough for a window here"), ("c", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["well yes", "so nine words are not enough for a window here", f"see {passage[:-4]} there", "clean"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.remove_contaminated(spark, docs, str(tmp_path)).collect()) == [0, 1, 3]
