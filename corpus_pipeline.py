@@ -12,14 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.columns import same
+from millrace.llm.columns import fresh, same
 from millrace.llm.decontamination import contaminated
 from millrace.llm.line_dedup import drop_boilerplate
 from millrace.llm.mixing import mix
 from millrace.llm.near_dup import near_duplicates
 from millrace.llm.queries import table
 from millrace.llm.storage import materialise
-from millrace.llm.toxicity import fit, score_toxicity
+from millrace.llm.toxicity import learn_and_score
 
 #: Documents scoring at least this are toxic.
 TOXIC = 0.5
@@ -27,8 +27,8 @@ TOXIC = 0.5
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class models, learnt from the labelled ones among them, do not call toxic."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, score="_score").where(F.col("_score") < TOXIC).select(docs.columns)
+    (score,) = fresh(docs, "score")
+    return learn_and_score(docs, table(spark, sf_dir, "labels"), score=score).where(F.col(score) < TOXIC).select(docs.columns)
 
 
 def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,22 +42,29 @@ def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group that near copies (five-word shingles, 0.8) connect.
+    """One document of each group that near copies (five-word shingles, 0.8) connect: that of least id, then of least text hash.
 
-    A row that repeats another's id and text is dropped with the copies; documents without
-    words, or without an id, have no copies and stay.
+    Rows are told apart by id and text, so a near copy goes whoever shares its id, and documents without an id
+    come last but are one group like others. A row that repeats another's id and text is dropped with the copies; documents
+    without words have no copies and stay.
     """
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    (name,) = fresh(docs, "row_name")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    named = docs.withColumn(name, row)
+    found = near_duplicates(named.select(name, "text"), doc=name, shingle=5, percent=80)
+    kept = found.where("kept").select(name).distinct()
+    chosen = named.join(kept, same(named, kept, name), "left_semi")
+    return chosen.dropDuplicates([name]).select(docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of ten words with a benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
+    """Documents that share no window of ten words with a benchmark item; shorter items say too little and drop nothing."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"), least=10).where("n_hit > 0")
     hit = found.select("doc_id", "text_hash").distinct()
-    marked = docs.withColumn("text_hash", F.xxhash64("text"))
-    return marked.join(hit, same(marked, hit, "doc_id", "text_hash"), "left_anti").select(docs.columns)
+    (name,) = fresh(docs, "text_hash")
+    marked = docs.withColumn(name, F.xxhash64("text"))
+    same_row = marked["doc_id"].eqNullSafe(hit["doc_id"]) & marked[name].eqNullSafe(hit["text_hash"])
+    return marked.join(hit, same_row, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +80,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_sources),
 ]
 
-#: Class models and schedules cannot be said in SQL; ``tests/llm/test_pipeline.py`` has a brute-force version.
+#: Class models and schedules cannot be said in SQL; ``tests/llm/test_queries.py`` has a version of plain steps.
 ORACLE_SQL = None
 
 
