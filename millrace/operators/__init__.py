@@ -1,6 +1,6 @@
 from .chain import CHAIN_FIELDS, NO_ENTRY, NO_RECORD, NOT_LINKED, NOT_THE_END, chain_breaks, chain_of, chained, ends, kept_heads, seals
 from .clean import ORDER_FIELDS, PROCESSED_AT, conform, contract, stamp, transform_orders
-from .compare import require_same_rows, table_difference
+from .compare import bucket_digests, differing_rows, require_same_rows, table_difference, unequal_buckets
 from .ledger import (
     LEDGER_FIELDS,
     LEDGER_SCHEMA,
@@ -17,7 +17,9 @@ from .ledger import (
 )
 from .quality import (
     VALID_ORDER_ID,
+    FAILED_EXPECTATIONS,
     Expectation,
+    broken_rows,
     column_report,
     contract_violations,
     expect_and_count,
@@ -72,15 +74,19 @@ __all__ = [
     "SKIP",
     "TRIGGERING",
     "VALID_ORDER_ID",
+    "FAILED_EXPECTATIONS",
     "Expectation",
     "append_attempt",
     "blocks",
+    "broken_rows",
+    "bucket_digests",
     "column_report",
     "conform",
     "contract",
     "contract_violations",
     "blocked_keys",
     "current_outcomes",
+    "differing_rows",
     "expect_and_count",
     "expect_or_drop",
     "expectation_counts",
@@ -96,6 +102,7 @@ __all__ = [
     "table_difference",
     "tampered",
     "transform_orders",
+    "unequal_buckets",
     "with_approver_default",
     "with_integrity",
 ]

@@ -57,6 +57,17 @@ def expect_and_count(
     return df.observe(observation, *_counts(expectations)).filter(_all_met(expectations))
 
 
+FAILED_EXPECTATIONS = "_failed"
+
+
+def broken_rows(df: DataFrame, expectations: Sequence[Expectation]) -> DataFrame:
+    """The rows ``expect_or_drop`` leaves out, each with the names of what it fails in ``_failed``."""
+    if FAILED_EXPECTATIONS in df.columns:
+        raise ValueError(f"a column is called {FAILED_EXPECTATIONS} already")
+    names = F.array_compact(F.array(*(F.when(~e.met(), F.lit(e.name)) for e in expectations))).cast("array<string>")
+    return df.withColumn(FAILED_EXPECTATIONS, names).filter(~_all_met(expectations))
+
+
 def expectation_counts(df: DataFrame, *expectations: Expectation) -> DataFrame:
     """One row: rows seen, rows dropped, and rows failing each expectation."""
     return df.agg(*_counts(expectations))

@@ -6,8 +6,9 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
-from ..operators import VALID_ORDER_ID, Expectation, contract, expect_and_count, require_contract, transform_orders
+from ..operators import VALID_ORDER_ID, Expectation, broken_rows, contract, expect_and_count, require_contract, transform_orders
 from ..session import require_settings
 from ..sources import scan, scan_new_files
 from ..streaming import Counts, append, counted, start_counting
@@ -27,13 +28,15 @@ class Step:
 
     ``build`` gets a function that reads another table of the same pipeline
     by name, as a batch or as a stream depending on how the pipeline is run. It is called
-    twice, first only to learn what it reads, so it should do nothing but describe its rows.
+    twice, first only to learn what it reads, so it should do nothing but describe its rows. ``broken`` names a second
+    table, in the same database, for the rows that fail an expectation: with it every row offered is in one of both.
     """
 
     table: str
     build: Callable[[Read], DataFrame]
     expectations: tuple[Expectation, ...] = ()
     comment: str = ""
+    broken: str | None = None
 
 
 @dataclass(frozen=True)
@@ -62,8 +65,11 @@ def _ready(spark: SparkSession, steps: Sequence[Step], streamed: bool) -> list[S
     require_settings(spark)
     if not steps:
         raise ValueError("a pipeline has one step at least")
-    for step in steps:
-        current_generation(spark, step.table)
+    tables = [table for step in steps for table in (step.table, step.broken) if table is not None]
+    if len(set(tables)) != len(tables):
+        raise ValueError(f"two steps write one table: {sorted(t for t in set(tables) if tables.count(t) > 1)}")
+    for table in tables:
+        current_generation(spark, table)
 
     def elsewhere(table: str) -> DataFrame:
         if streamed or not spark.catalog.tableExists(table):
@@ -96,8 +102,12 @@ def recompute(spark: SparkSession, steps: Sequence[Step]) -> Update:
         counted = expect_and_count(rows, observed, step.expectations)
         counted.write.parquet(generation.data(step.table))
         counts[step.table] = Counts.of(observed.get)
+        if step.broken:
+            rest = broken_rows(rows, step.expectations)
+            schemas[step.broken] = rest.schema
+            rest.write.parquet(generation.data(step.broken))
     for step in steps:
-        show(spark, step.table, generation, schemas[step.table], step.comment)
+        _show(spark, step, generation, schemas)
     return Update(generation.id, counts)
 
 
@@ -122,19 +132,30 @@ def _append_to(
             schemas[step.table] = rows.schema
             target = generation.data(step.table), generation.checkpoint(step.table)
             append(rows, *target, step.expectations)
+            if step.broken:
+                # A stream of its own over the same rows: each of both tables gets every row of its kind once, after a cut-off run too.
+                rest = broken_rows(rows, step.expectations)
+                schemas[step.broken] = rest.schema
+                append(rest, generation.data(step.broken), generation.checkpoint(step.broken))
             countings[step.table] = start_counting(rows, *target, step.expectations)
             if shown:
-                show(spark, step.table, generation, rows.schema, step.comment)
+                _show(spark, step, generation, schemas)
         counts = {table: counted(query, spark, generation.checkpoint(table)) for table, query in countings.items()}
     finally:
         for query in countings.values():
             query.stop()
     if not shown:
         for step in steps:
-            show(spark, step.table, generation, schemas[step.table], step.comment)
+            _show(spark, step, generation, schemas)
     return Update(generation.id, counts)
 
 
+def _show(spark: SparkSession, step: Step, generation: Generation, schemas: Mapping[str, StructType]) -> None:
+    if step.broken:
+        show(spark, step.broken, generation, schemas[step.broken], f"Rows that {step.table} leaves out, with what they fail.")
+    show(spark, step.table, generation, schemas[step.table], step.comment)
+
+
 def update(spark: SparkSession, steps: Sequence[Step]) -> Update:
     """Incremental update: clean and append only input that has arrived since the last one.
 

@@ -16,8 +16,11 @@ from millrace.operators import (
     expectation_counts,
     null_count,
     require_contract,
+    bucket_digests,
+    differing_rows,
     require_same_rows,
     table_difference,
+    unequal_buckets,
     transform_orders,
 )
 
@@ -135,3 +138,56 @@ def test_difference_shuffles_once(spark):
     assert text.count("HashAggregate") == 2
     executed = plan._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange hashpartitioning") == 1
+
+
+# --- comparison by digests
+
+
+DIGEST_SCHEMA = "a string, b string, n double, l array<int>, s struct<x: int, y: string>"
+
+
+def digest_rows(n, seed=1):
+    pick = __import__("random").Random(seed)
+    words = ["x", "y", "", None]
+    return [
+        (pick.choice(words), pick.choice(words), pick.choice([0.5, None, float("nan"), 2.0]), pick.choice([None, [], [1, None]]), pick.choice([None, (1, "p"), (None, "p")]))
+        for _ in range(n)
+    ]
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 4096])
+def test_differing_rows_are_those_of_the_direct_comparison(spark, buckets):
+    rows = digest_rows(400)
+    left = spark.createDataFrame(rows, DIGEST_SCHEMA).repartition(3)
+    for other in (rows, rows[::-1], rows[:-1], rows + rows[:1], digest_rows(400, 2), []):
+        right = spark.createDataFrame(other, DIGEST_SCHEMA).select("s", "n", "l", "b", "a")
+        found, expected = (sorted(map(str, f.collect())) for f in (differing_rows(left, right, buckets), table_difference(left, right)))
+        assert found == expected
+    assert differing_rows(left, left, buckets).isEmpty()
+
+
+def test_values_that_change_places_with_nulls_are_not_overlooked(spark):
+    schema = "a string, b string"
+    left, right = (spark.createDataFrame(r, schema) for r in ([("v", None), ("w", "w")], [(None, "v"), ("w", "w")]))
+    assert differing_rows(left, right).count() == 2
+    twice = spark.createDataFrame([("w", "w")] * 2, schema)
+    assert differing_rows(twice, twice.limit(1)).collect()[0].asDict() == {"a": "w", "b": "w", "left_count": 2, "right_count": 1}
+    assert differing_rows(twice.where("false"), twice.where("false")).isEmpty()
+
+
+def test_equal_tables_are_not_shuffled_row_by_row(spark, tmp_path):
+    spark.range(50_000).selectExpr("id", "string(id) AS t").write.parquet(f"{tmp_path}/a")
+    spark.range(49_999, -1, -1).selectExpr("id", "string(id) AS t").write.parquet(f"{tmp_path}/b")
+    left, right = (spark.read.parquet(f"{tmp_path}/{n}") for n in "ab")
+    assert unequal_buckets(left, right, left.columns).isEmpty()
+    digests = bucket_digests(left, left.columns)
+    plan = digests._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_sum" in plan and "Sort" not in plan
+    changed = right.withColumn("t", F.when(F.col("id") == 77, "x").otherwise(F.col("t")))
+    assert {r["bucket"] for r in unequal_buckets(left, changed, left.columns).collect()} and unequal_buckets(left, changed, left.columns).count() <= 2
+    assert sorted(r.t for r in differing_rows(left, changed).collect()) == ["77", "x"]
+
+
+def test_columns_named_like_inner_ones_and_maps(spark):
+    rows = spark.range(3).selectExpr("id AS bucket", "id AS one", "id AS n", "id AS `a.b`")
+    assert differing_rows(rows, rows).isEmpty() and differing_rows(rows, rows.filter("bucket > 0")).count() == 1
