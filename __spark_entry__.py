@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 from pathlib import Path
 from uuid import uuid4
 
@@ -23,6 +24,7 @@ from millrace.operators import (
     LEDGER_FIELDS,
     PROCESSED_AT,
     VALID_ORDER_ID,
+    Expectation,
     blocked_keys,
     chain_breaks,
     chain_of,
@@ -31,6 +33,7 @@ from millrace.operators import (
     conform,
     contract,
     current_outcomes,
+    differing_rows,
     ends,
     expect_or_drop,
     expectation_counts,
@@ -197,6 +200,21 @@ def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_difference(_comparable(transform_orders(orders)), _comparable(transform_orders(copy)))
 
 
+def _changed_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cleaned orders, and a stored-like copy in which few rows differ."""
+    cleaned = _comparable(transform_orders(raw_orders(spark, sf_dir)))
+    key = F.col("order_id").cast("long")
+    copies = F.when(key % 1500 == 11, 0).when(key % 2000 == 13, 3).otherwise(1)
+    copy = cleaned.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).drop("copy")
+    changed = F.when(key % 1000 == 7, "-1").otherwise(F.col("customer_id"))
+    return cleaned, copy.withColumn("customer_id", changed)
+
+
+def changed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all rows, then only the rows of buckets that differ."""
+    return differing_rows(*_changed_sides(spark, sf_dir))
+
+
 def customers_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A comparison in which few distinct rows repeat very often on both sides."""
     orders = _table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority")
@@ -308,6 +326,24 @@ def update_counts_cut_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.counts({"first": first, "second": second, "idle": idle})
 
 
+def kept_and_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two updates with two expectations; every row is in the table or, with what it fails, beside it."""
+    place = _Workplace(spark, "kept_and_broken")
+    rest = target("dev", "bronze", "orders_broken", place.user)
+    priced = Expectation("priced", "amount IS NOT NULL")
+
+    def steps() -> tuple[Step, Step]:
+        raw, bronze = place.streamed()
+        return raw, replace(bronze, expectations=(VALID_ORDER_ID, priced), broken=rest)
+
+    for arrive in _land_early_and_late(place, sf_dir):
+        arrive()
+        update(spark, steps())
+    kept = scan(spark, place.bronze).withColumn("failed", F.lit(""))
+    broken = scan(spark, rest).withColumn("failed", F.array_join("_failed", ",")).drop("_failed")
+    return _comparable(kept.unionByName(broken))
+
+
 def steps_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three tables, written again from more rows with the steps the wrong way round."""
     place = _Workplace(spark, "steps_out_of_order")
@@ -606,8 +642,10 @@ def _training_data() -> tuple[dict, dict]:
         found["pipeline"] = corpus_pipeline.run
         if corpus_pipeline.ORACLE_SQL:
             sql["pipeline"] = corpus_pipeline.ORACLE_SQL
-    except ImportError:
-        pass
+    except ModuleNotFoundError as missing:
+        # Only the part itself may be absent; what it lacks in turn is an error.
+        if missing.name not in ("millrace.llm", "millrace.llm.queries", "corpus_pipeline"):
+            raise
     return found, sql
 
 
@@ -632,6 +670,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "null_count": null_counts,
         "table_difference": changed_rows,
         "table_difference_repeated_rows": customers_compared,
+        "differing_rows": changed_buckets,
         "table_roundtrip": table_roundtrip,
         "raw_to_bronze_tables": raw_to_bronze_tables,
         "recompute_counts": recompute_counts,
@@ -640,6 +679,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "update_counts": update_counts,
         "update_counts_cut_off": update_counts_cut_off,
         "steps_out_of_order": steps_out_of_order,
+        "kept_and_broken": kept_and_broken,
         "full_refresh": full_refresh,
         "release_tags": tags_of_releases,
         "refresh_decision": decisions,
@@ -829,6 +869,18 @@ def _own_sql() -> dict[str, str]:
             FROM (SELECT order_id, customer_id, amount, order_ts, 1 AS a, 0 AS b FROM l
                   UNION ALL SELECT *, 0, 1 FROM r)
             GROUP BY ALL HAVING sum(a) <> sum(b)""",
+        "differing_rows": f"""
+            WITH {_CLEANED},
+            r AS (SELECT order_id, CASE WHEN CAST(order_id AS BIGINT) % 1000 = 7 THEN '-1' ELSE customer_id END AS customer_id,
+                         amount, order_ts
+                  FROM cleaned, (VALUES (1), (2), (3)) AS c(copy)
+                  WHERE copy <= CASE WHEN CAST(order_id AS BIGINT) % 1500 = 11 THEN 0 WHEN CAST(order_id AS BIGINT) % 2000 = 13 THEN 3
+                                     ELSE 1 END)
+            SELECT order_id, customer_id, amount, order_ts, CAST(sum(a) AS BIGINT) AS left_count,
+                   CAST(sum(b) AS BIGINT) AS right_count
+            FROM (SELECT order_id, customer_id, amount, order_ts, 1 AS a, 0 AS b FROM cleaned
+                  UNION ALL SELECT *, 0, 1 FROM r)
+            GROUP BY ALL HAVING sum(a) <> sum(b)""",
         "table_difference_repeated_rows": """
             SELECT o_orderstatus, o_orderpriority, CAST(sum(a) AS BIGINT) AS left_count,
                    CAST(sum(b) AS BIGINT) AS right_count
@@ -854,6 +906,10 @@ def _own_sql() -> dict[str, str]:
             FROM (SELECT *, o_orderkey % 8 AS form FROM orders) WHERE form < 5""",
         "update_counts": _update_counts_sql(),
         "update_counts_cut_off": _update_counts_sql(),
+        "kept_and_broken": f"""
+            WITH {_CLEANED}
+            SELECT *, concat_ws(',', CASE WHEN order_id IS NULL THEN 'valid_order_id' END,
+                                CASE WHEN amount IS NULL THEN 'priced' END) AS failed FROM cleaned""",
         "steps_out_of_order": f"SELECT * FROM ({_BRONZE}) WHERE amount IS NOT NULL",
         "full_refresh": _BRONZE,
         "release_tags": """
