@@ -28,20 +28,30 @@ def test_query_agrees_with_sql(spark, connection, key):
 
 
 def test_every_operator_is_registered():
-    assert {k.partition("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.partition("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(registered.queries())
 
 
 @pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_covers_its_whole_table(spark, key):
-    source = "conversations" if key.startswith("op2_") else "documents"
+    source = {"op2": "conversations", "op11": "embeddings"}.get(key.partition("_")[0], "documents")
     whole = spark.read.parquet(f"{SF_DIR}/{source}.parquet")
     found = QUERIES[key](spark, SF_DIR)
-    assert found.count() == whole.count()
+    lines = 4 if source == "embeddings" else 1  # one per component
+    assert found.count() == lines * whole.count()
     if source == "documents":
         assert sorted(r[0] for r in found.select("doc_id").collect()) == sorted(r[0] for r in whole.select("doc_id").collect())
 
 
+def test_whitening_query_has_all_vectors_and_types(spark):
+    found = QUERIES["op11_embedding_whitening"](spark, SF_DIR)
+    whole = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    assert found.groupBy("vec_id").count().where("count = 4").count() == whole.select("vec_id").distinct().count()
+    kinds = dict(found.dtypes)
+    assert [kinds[c] for c in ("component", "n", "deviation", "whitened", "explained", "identity_error")] == ["int", "bigint", "bigint", "double", "double", "double"]
+    assert found.agg(F.max("identity_error")).first()[0] < 1e-9 and found.where("deviation IS NULL OR deviation <> exact_deviation").isEmpty()
+
+
 def test_pipeline_as_plain_steps(spark, tmp_path):
     """The given documents with repeated rows, nulls and a hot source, through each stage and plainly."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumn(
