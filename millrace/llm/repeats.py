@@ -27,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -320,9 +321,9 @@ def remove_repeats(
         return sent((b, bucket, pack(m)) for b, m in zip(table.column("block").to_pylist(), np.split(found, ends[:-1])) if m.any())
 
     def cut(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        first = pa.compute.equal(answers.column("stage"), 1)
+        first = pc.equal(answers.column("stage"), 1)
         block, found, starts = prepared(texts, answers.filter(first))
-        mark = answered(answers.filter(pa.compute.invert(first)), starts, np.uint32)[found.source].astype(np.int64)
+        mark = answered(answers.filter(pc.invert(first)), starts, np.uint32)[found.source].astype(np.int64)
         every = (np.int64(1) << found.count[found.source]) - 1
         mark = np.where(found.source_document > found.document[found.source], every, mark)
         change = np.zeros(len(block.data) + 1, np.int32)
