@@ -13,8 +13,7 @@ from ..operators import Expectation, expect_and_count, expectation_counts
 from ..sources import scan_new_files
 
 _METRICS = "row_counts"
-_RECORD = "batch LONG, seen LONG, dropped LONG, failed MAP<STRING, LONG>"
-_REPORTED = "batch LONG"
+_RECORD = "batch LONG, reported BOOLEAN, seen LONG, dropped LONG, failed MAP<STRING, LONG>"
 
 
 @dataclass(frozen=True)
@@ -80,7 +79,9 @@ def start_counting(
     conditions' columns only; without any, the rows appended, of which only the number is read.
     """
     spark = stream.sparkSession
-    folder = _counts_folder(spark, checkpoint)
+    folder = _counts_folder(checkpoint)
+    # Hidden, but the folder around it is there to be read from the start.
+    spark.createDataFrame([], _RECORD).coalesce(1).write.mode("ignore").parquet(f"{folder}/batches/_start")
     rows = stream if expectations else scan_new_files(spark, path, stream.schema)
 
     def put_down(batch: DataFrame, number: int) -> None:
@@ -88,7 +89,7 @@ def start_counting(
             F.array(*(F.lit(e.name) for e in expectations)).cast("array<string>"),
             F.array(*(F.col(f"`{e.name}`") for e in expectations)).cast("array<bigint>"),
         )
-        line = expectation_counts(batch, *expectations).select(F.lit(number).cast("bigint").alias("batch"), "seen", "dropped", failed.alias("failed"))
+        line = expectation_counts(batch, *expectations).select(F.lit(number).cast("bigint").alias("batch"), F.lit(False).alias("reported"), "seen", "dropped", failed.alias("failed"))
         line.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batches/{number:012d}")
 
     return (
@@ -102,7 +103,7 @@ def start_counting(
 def counted(counting: StreamingQuery, spark: SparkSession, checkpoint: str) -> Counts:
     """Wait for the counting to end; the sum of what it and cut-off runs before it have counted."""
     _to_its_end(counting)
-    return _put_on_record(spark, _counts_folder(spark, checkpoint))
+    return _put_on_record(spark, _counts_folder(checkpoint))
 
 
 def _to_its_end(query: StreamingQuery) -> None:
@@ -112,21 +113,17 @@ def _to_its_end(query: StreamingQuery) -> None:
         query.stop()
 
 
-def _counts_folder(spark: SparkSession, checkpoint: str) -> str:
-    folder = f"{checkpoint.rstrip('/')}-counts"
-    for name, schema in (("batches", _RECORD), ("reported", _REPORTED)):
-        # Hidden, but the folder around it is there to be read from the start.
-        spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(f"{folder}/{name}/_start")
-    return folder
+def _counts_folder(checkpoint: str) -> str:
+    return f"{checkpoint.rstrip('/')}-counts"
 
 
 def _put_on_record(spark: SparkSession, folder: str) -> Counts:
     """The sum of the batches that no call has reported yet; from now on they are reported."""
-    reported = spark.read.schema(_REPORTED).parquet(f"{folder}/reported")
-    last = reported.agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("batch")).first().batch
-    batches = spark.read.schema(_RECORD).option("recursiveFileLookup", "true").parquet(f"{folder}/batches")
-    new = batches.filter(F.col("batch") > last).collect()  # one row per batch since the last call
+    lines = spark.read.schema(_RECORD).option("recursiveFileLookup", "true").parquet(f"{folder}/batches")
+    last = lines.filter("reported").agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("batch")).scalar()
+    new = lines.filter(~F.col("reported") & (F.col("batch") > last)).collect()  # one row per batch since the last call
     if new:
-        line = spark.createDataFrame([(max(r.batch for r in new),)], _REPORTED)
-        line.coalesce(1).write.mode("append").parquet(f"{folder}/reported")
+        number = max(r.batch for r in new)
+        mark = spark.createDataFrame([(number, True, None, None, None)], _RECORD)
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batches/reported-{number:012d}")
     return sum((Counts(r.seen, r.dropped, r.failed) for r in new), Counts())
