@@ -50,14 +50,21 @@ from millrace.operators import (
     with_integrity,
 )
 from millrace.plans import (
+    Shown,
     Step,
     Update,
+    begin,
     create_layers,
     current_generation,
     full_refresh as refresh_all,
     governed_refresh as release,
+    new_generation,
     orders_pipeline,
+    reading,
     recompute,
+    retire_generations,
+    settle,
+    show,
     target,
     update,
 )
@@ -369,6 +376,48 @@ def full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(scan(spark, place.bronze))
 
 
+def refresh_cut_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that end after the first pointer and after the last one; what the tables show once that is settled."""
+    place = _Workplace(spark, "refresh_cut_off")
+    raw = raw_orders(spark, sf_dir)
+    steps = lambda rows: orders_pipeline(lambda: rows, place.raw, place.bronze)
+    recompute(spark, steps(raw.filter("order_ts < '1996-01-01'")))
+    rows = {place.raw: raw, place.bronze: expect_or_drop(transform_orders(raw), VALID_ORDER_ID)}
+    new = new_generation(spark, place.bronze, streamed=False)
+    for table, content in rows.items():
+        content.write.parquet(new.data(table))
+    move = [Shown(table, content.schema, "") for table, content in rows.items()]
+    found = []
+    for pointers in (1, 2):
+        begin(spark, move, new)
+        for to in move[:pointers]:
+            show(spark, to.table, new, to.schema, to.comment)
+        outcome = settle(spark, place.bronze)
+        found += [(pointers, outcome, t.rpartition(".")[2], scan(spark, t).count()) for t in rows]
+    return spark.createDataFrame(found, "pointers INT, outcome STRING, table_name STRING, n_rows LONG")
+
+
+def leased_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader of two tables while both are replaced and old files retired, and one after that."""
+    place = _Workplace(spark, "leased_reading")
+    raw = raw_orders(spark, sf_dir)
+    steps = lambda rows: orders_pipeline(lambda: rows, place.raw, place.bronze)
+
+    def seen(reader: str, frames: list[DataFrame]) -> list[tuple]:
+        totals = F.count(F.lit(1)), F.count_distinct("customer_id"), F.max("order_ts").cast("string")
+        return [(reader, name, *rows.agg(*totals).first()) for name, rows in zip(("raw", "bronze"), frames, strict=True)]
+
+    recompute(spark, steps(raw.filter("order_ts < '1996-01-01'")))
+    with reading(spark, place.raw, place.bronze) as frames:
+        recompute(spark, steps(raw))
+        retired = len(retire_generations(spark, place.bronze, keep=0))
+        found = seen(f"before, {retired} retired", frames)
+    retired = len(retire_generations(spark, place.bronze, keep=0))
+    with reading(spark, place.raw, place.bronze) as frames:
+        found += seen(f"after, {retired} retired", frames)
+    return spark.createDataFrame(found, "reader STRING, table_name STRING, n_rows LONG, n_customers LONG, latest STRING")
+
+
 def landing_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as they may really arrive: bare numbers, nested, missing, unknown, cut off, blank."""
     orders = _table(spark, sf_dir, "orders")
@@ -681,6 +730,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "steps_out_of_order": steps_out_of_order,
         "kept_and_broken": kept_and_broken,
         "full_refresh": full_refresh,
+        "refresh_cut_off": refresh_cut_off,
+        "leased_reading": leased_reading,
         "release_tags": tags_of_releases,
         "refresh_decision": decisions,
         "refresh_decision_many_tags": decisions_many_tags,
@@ -912,6 +963,20 @@ def _own_sql() -> dict[str, str]:
                                 CASE WHEN amount IS NULL THEN 'priced' END) AS failed FROM cleaned""",
         "steps_out_of_order": f"SELECT * FROM ({_BRONZE}) WHERE amount IS NOT NULL",
         "full_refresh": _BRONZE,
+        "refresh_cut_off": f"""
+            WITH {_RAW}, runs AS (SELECT * FROM (VALUES (1, 'undone'), (2, 'finished')) v(pointers, outcome)),
+            shown AS (SELECT * FROM runs, raw WHERE pointers = 2 OR order_ts < '1996-01-01')
+            SELECT pointers, outcome, 'orders_raw' AS table_name, count(*) AS n_rows FROM shown GROUP BY 1, 2
+            UNION ALL
+            SELECT pointers, outcome, 'orders_bronze', count(order_id) FROM shown GROUP BY 1, 2""",
+        "leased_reading": f"""
+            WITH {_RAW}, runs AS (SELECT * FROM (VALUES (1, 'before, 0 retired'), (2, 'after, 1 retired')) v(run, reader)),
+            shown AS (SELECT * FROM runs, raw WHERE run = 2 OR order_ts < '1996-01-01')
+            SELECT reader, 'raw' AS table_name, count(*) AS n_rows, count(DISTINCT customer_id) AS n_customers,
+                   max(order_ts) AS latest FROM shown GROUP BY 1
+            UNION ALL
+            SELECT reader, 'bronze', count(*), count(DISTINCT customer_id), max(order_ts)
+            FROM shown WHERE order_id IS NOT NULL GROUP BY 1""",
         "release_tags": """
             SELECT DISTINCT o_orderkey % 11 || '.' || o_orderkey % 29 || '.' || o_orderkey % 997 AS tag
             FROM orders WHERE o_orderkey % 7 = 0""",

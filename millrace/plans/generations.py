@@ -49,12 +49,16 @@ def _database_folder(spark: SparkSession, table: str) -> str:
     return spark.catalog.getDatabase(name).locationUri.rstrip("/")
 
 
+def pipeline_folder(spark: SparkSession, table: str) -> str:
+    """Where the pipeline that ends in ``table`` keeps its generations, journal and leases."""
+    return f"{_database_folder(spark, table)}/generations/{_short(table)}"
+
+
 def new_generation(spark: SparkSession, table: str, streamed: bool) -> Generation:
     """An unused generation of the pipeline that ends in ``table``."""
     written = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-    folder = f"{_database_folder(spark, table)}/generations/{_short(table)}"
     kind = "stream" if streamed else "batch"
-    return Generation(f"{folder}/gen={written}-{uuid4().hex[:12]}-{kind}")
+    return Generation(f"{pipeline_folder(spark, table)}/gen={written}-{uuid4().hex[:12]}-{kind}")
 
 
 def current_generation(spark: SparkSession, table: str) -> Generation | None:
@@ -73,32 +77,54 @@ def current_generation(spark: SparkSession, table: str) -> Generation | None:
 
 
 def retire_generations(spark: SparkSession, table: str, keep: int = 1) -> list[str]:
-    """Delete generations older than the one shown, except the newest ``keep`` of them.
+    """Delete generations older than the one shown, except the newest ``keep`` of them and those that are being read.
 
     Replacing a table leaves the files it showed before, for readers still at
     work and for going back. Ids begin with the time of writing, so a generation
-    being written now is newer than the one shown and is not touched. The
+    being written now is newer than the one shown and is not touched. One that a reader has a
+    lease on (``reading``) stays, and goes with a later call. The
     pipeline is named by its last table. Returns the ids that were deleted.
     """
+    from .journal import settle
+    from .leases import give_up
+
+    settle(spark, table)  # a move that was cut off needs the files it came from
     current = current_generation(spark, table)
     if current is None:
         return []
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(current.folder).getParent()
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    ids = sorted(status.getPath().getName().removeprefix("gen=") for status in files.listStatus(folder))
+    names = (status.getPath().getName() for status in files.listStatus(folder))
+    ids = sorted(name.removeprefix("gen=") for name in names if name.startswith("gen="))
     older = [name for name in ids if name < current.id]
-    retired = older[: max(len(older) - keep, 0)]
-    for name in retired:
+    unread = [name for name in older[: max(len(older) - keep, 0)] if give_up(spark, Generation(f"{folder}/gen={name}"))]
+    for name in unread:
         files.delete(hadoop.Path(folder, f"gen={name}"), True)
-    return retired
+        files.delete(hadoop.Path(folder, f"leases/{name}"), True)
+    return unread
 
 
 def _columns(spark: SparkSession, table: str) -> list[tuple[str, str]]:
     return [(column.name, column.dataType) for column in spark.catalog.listColumns(table)]
 
 
-def _replace_entry(spark: SparkSession, table: str, path: str, schema: StructType, exists: bool) -> None:
+def _beside(table: str, mark: str) -> tuple[str, str]:
+    return f"{table}_new_{mark}", f"{table}_old_{mark}"
+
+
+def repair_entry(spark: SparkSession, table: str, mark: str) -> None:
+    """Give ``table`` an entry again, and take away those beside it, after a replacement that was cut off."""
+    ready, old = _beside(table, mark)
+    if spark.catalog.tableExists(old):
+        if spark.catalog.tableExists(table):
+            spark.sql(f"DROP TABLE {old}")
+        else:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {ready}")
+
+
+def _replace_entry(spark: SparkSession, table: str, path: str, schema: StructType, exists: bool, mark: str) -> None:
     """A new catalog entry for other columns, made under another name first.
 
     Renaming changes only the catalog. The old entry goes when the new one has its name,
@@ -107,8 +133,7 @@ def _replace_entry(spark: SparkSession, table: str, path: str, schema: StructTyp
     if not exists:
         spark.catalog.createTable(table, path=path, source="parquet", schema=schema)
         return
-    mark = uuid4().hex[:12]
-    ready, old = f"{table}_new_{mark}", f"{table}_old_{mark}"
+    ready, old = _beside(table, mark)
     spark.catalog.createTable(ready, path=path, source="parquet", schema=schema)
     spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
     try:
@@ -120,17 +145,18 @@ def _replace_entry(spark: SparkSession, table: str, path: str, schema: StructTyp
 
 
 def show(
-    spark: SparkSession, table: str, generation: Generation, schema: StructType, comment: str
+    spark: SparkSession, table: str, generation: Generation, schema: StructType, comment: str, mark: str | None = None
 ) -> None:
     """Let ``table`` show a generation, creating or retyping the catalog entry if needed.
 
-    Only the catalog is consulted; the files of the old generation are not listed.
+    Only the catalog is consulted; the files of the old generation are not listed. Entries made on the way have ``mark`` in their
+    names, by which ``repair_entry`` finds them.
     """
     path = generation.data(table)
     shown = current_generation(spark, table)
     expected = [(field.name, field.dataType.simpleString()) for field in schema]
     if shown is None or _columns(spark, table) != expected:
-        _replace_entry(spark, table, path, schema, shown is not None)
+        _replace_entry(spark, table, path, schema, shown is not None, mark or uuid4().hex[:12])
     elif shown == generation:
         spark.catalog.refreshTable(table)
     else:

@@ -13,6 +13,7 @@ from ..session import require_settings
 from ..sources import scan, scan_new_files
 from ..streaming import Counts, append, counted, start_counting
 from .generations import Generation, current_generation, new_generation, show
+from .journal import Shown, move_tables, settle
 from .order import UnknownTable, in_order
 
 Read = Callable[[str], DataFrame]
@@ -68,6 +69,8 @@ def _ready(spark: SparkSession, steps: Sequence[Step], streamed: bool) -> list[S
     tables = [table for step in steps for table in (step.table, step.broken) if table is not None]
     if len(set(tables)) != len(tables):
         raise ValueError(f"two steps write one table: {sorted(t for t in set(tables) if tables.count(t) > 1)}")
+    for table in tables:
+        settle(spark, table)  # whichever of them the pipeline is named by
     for table in tables:
         current_generation(spark, table)
 
@@ -106,8 +109,7 @@ def recompute(spark: SparkSession, steps: Sequence[Step]) -> Update:
             rest = broken_rows(rows, step.expectations)
             schemas[step.broken] = rest.schema
             rest.write.parquet(generation.data(step.broken))
-    for step in steps:
-        _show(spark, step, generation, schemas)
+    move_tables(spark, _shown(steps, schemas), generation)
     return Update(generation.id, counts)
 
 
@@ -139,28 +141,32 @@ def _append_to(
                 append(rest, generation.data(step.broken), generation.checkpoint(step.broken))
             countings[step.table] = start_counting(rows, *target, step.expectations)
             if shown:
-                _show(spark, step, generation, schemas)
+                for to in _shown([step], schemas):
+                    show(spark, to.table, generation, to.schema, to.comment)
         counts = {table: counted(query, spark, generation.checkpoint(table)) for table, query in countings.items()}
     finally:
         for query in countings.values():
             query.stop()
     if not shown:
-        for step in steps:
-            _show(spark, step, generation, schemas)
+        move_tables(spark, _shown(steps, schemas), generation)
     return Update(generation.id, counts)
 
 
-def _show(spark: SparkSession, step: Step, generation: Generation, schemas: Mapping[str, StructType]) -> None:
-    if step.broken:
-        show(spark, step.broken, generation, schemas[step.broken], f"Rows that {step.table} leaves out, with what they fail.")
-    show(spark, step.table, generation, schemas[step.table], step.comment)
+def _shown(steps: Sequence[Step], schemas: Mapping[str, StructType]) -> list[Shown]:
+    """The tables of the steps in the order in which they are shown, the last step's own last."""
+    tables = []
+    for step in steps:
+        if step.broken:
+            tables.append(Shown(step.broken, schemas[step.broken], f"Rows that {step.table} leaves out, with what they fail."))
+        tables.append(Shown(step.table, schemas[step.table], step.comment))
+    return tables
 
 
 def update(spark: SparkSession, steps: Sequence[Step]) -> Update:
     """Incremental update: clean and append only input that has arrived since the last one.
 
-    The last table is shown last, so its generation is the pipeline's. Earlier
-    tables are pointed at the same one, should a refresh have stopped in between.
+    The last table is shown last, so its generation is the pipeline's. A refresh that stopped while it
+    moved the tables is settled first, so all of them are at the same one.
     Tables that a batch wrote have no checkpoint to go on from. Replacing them has to
     be asked for, so that is an error; only a pipeline without a table starts by itself.
     """

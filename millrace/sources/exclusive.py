@@ -52,6 +52,13 @@ class Taken:
                 return found
             time.sleep(0.1)
 
+    def has(self, name: str) -> bool:
+        return self._files.exists(self._path(name))
+
+    def give_back(self, name: str) -> None:
+        """Remove the file, if it is there, so that the name can be taken again."""
+        self._files.delete(self._path(name), False)
+
     def names(self, folder: str = "") -> list[str]:
         """The names below a folder, sorted; none if there is no such folder."""
         path = self._path(folder) if folder else self._folder
