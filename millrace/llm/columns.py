@@ -15,6 +15,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def last_at_most(values: Column, bound: Column, of: Callable[[Column], Column] = lambda v: v) -> Column:
+    """The last of ``values``, which rise by ``of``, with ``of`` at most ``bound``: 24 looks in 16 million values.
+
+    If there is none, it is the first of them, and null of an empty array. ``values`` must be a column or a lambda's variable.
+    """
+    steps = F.array(*(F.lit(1 << n) for n in reversed(range(24))))
+
+    def step(place: Column, width: Column) -> Column:
+        return F.when(of(F.get(values, place + width)) <= bound, place + width).otherwise(place)
+
+    within = F.filter(steps, lambda width: width < F.size(values))
+    return F.get(values, F.aggregate(within, F.lit(0), step))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z as a-z, all else as it is."""
     return F.translate(text, ascii_uppercase, ascii_lowercase)

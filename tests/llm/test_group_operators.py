@@ -85,6 +85,18 @@ def test_hits_as_windows_give_them(spark):
     assert got == expected
 
 
+def test_long_texts_of_shared_words(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    items = [(1, " ".join(words)), (2, "short one"), (3, " ".join(words[100:140]))]
+    cut = [w if i % 1000 else "cut" for i, w in enumerate(words)]
+    docs = [(1, " ".join(words)), (2, " ".join(cut)), (3, " ".join(words[::2])), (4, " ".join(words[50:90]))]
+    wanted = brute.windows(items)
+    found = contaminated(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, tuple(r["items"])) for r in found}
+    assert got == {i: (n, h, tuple(s)) for i, t in docs for n, h, s in [brute.hits(t, wanted)]}
+    assert got[1][1] == 30_000 and got[2][1] == 29_970 and got[3][1] == 0
+
+
 def test_no_benchmark_and_no_documents(spark):
     docs, items = frame(spark, [(1, "a b"), (2, None)]), frame(spark, [(1, "a b")], "item_id long, text string")
     assert sorted((r.n_words, r.n_hit, r["items"]) for r in contaminated(docs, items.where("false")).collect()) == [(0, 0, []), (2, 0, [])]
