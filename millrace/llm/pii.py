@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let
+from .columns import last_at_most, let
 
 #: Spans scoring at least this are reported; base kinds always are.
 THRESHOLD = 0.6
@@ -170,14 +170,21 @@ def find_personal_data(df: DataFrame, *, text: str = "text", base: str = "base_s
     are, repeated or not; columns named like the two results are replaced.
     """
     content = F.col(text)
-    all_of = lambda kinds, first: F.concat(*(_spans(k, first + i, content) for i, k in enumerate(kinds)))
+    each_of = lambda kinds, first: [_spans(k, first + i, content) for i, k in enumerate(kinds)]
 
-    def both(found: Column) -> Column:
-        overlaps = lambda s: F.exists(found, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
-        more = F.filter(all_of(ADDED, len(BASE)), lambda s: ~overlaps(s))
-        return F.struct(found.alias("base"), F.array_sort(F.concat(found, more)).alias("all"))
+    def reaches(of_kind: Column, s: Column) -> Column:
+        # Spans of one kind rise and do not overlap, so of those that start before s ends the last ends last.
+        nearest = last_at_most(of_kind, s["end"] - 1, lambda b: b["start"])
+        return F.coalesce(let(nearest, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), F.lit(False))
 
-    df = df.withColumn("_personal", let(F.array_sort(all_of(BASE, 0)), both))
+    def both(kinds: Column) -> Column:
+        more = F.filter(F.concat(*each_of(ADDED, len(BASE))), lambda s: ~F.exists(kinds, lambda of_kind: reaches(of_kind, s)))
+        return let(
+            F.flatten(kinds),
+            lambda found: F.struct(F.array_sort(found).alias("base"), F.array_sort(F.concat(found, more)).alias("all")),
+        )
+
+    df = df.withColumn("_personal", let(F.array(*each_of(BASE, 0)), both))
     return df.withColumns({base: F.col("_personal.base"), spans: F.col("_personal.all")}).drop("_personal")
 
 

@@ -56,6 +56,15 @@ def test_long_runs_take_linear_time_and_little_stack(spark):
     assert counts == [0, 0, 1, 50_000 - 25_000, 0]
 
 
+@pytest.mark.parametrize("times", [0, 1, 2, 3, 7, 10_000])
+def test_added_kinds_give_way_to_any_of_many_base_spans(spark, times):
+    one = "tel 030 1234567 , tel 030-1234567@b.cc ; +49 30 1234567 "
+    (row,) = find_personal_data(spark.createDataFrame([(1, one * times)], "doc_id long, text string")).collect()
+    places = [("local_phone", "030 1234567"), ("email", "030-1234567@b.cc"), ("phone", "+49 30 1234567")]
+    expected = [(kind, i * len(one) + one.index(what), i * len(one) + one.index(what) + len(what)) for i in range(times) for kind, what in places]
+    assert [(s.kind, s.start, s.end) for s in row.spans] == expected
+
+
 def test_added_kinds_need_checksum_or_context(spark):
     text = "IBAN DE89370400440532013000, GB82 WEST 1234 5698 7654 32 not DE89370400440532013001. ssn: 123-45-6789; 223-45-6789"
     (row,) = find_personal_data(table(spark, [text]).limit(1).withColumn("spans", F.lit(1))).collect()
