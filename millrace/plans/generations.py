@@ -82,13 +82,14 @@ def retire_generations(spark: SparkSession, table: str, keep: int = 1) -> list[s
     Replacing a table leaves the files it showed before, for readers still at
     work and for going back. Ids begin with the time of writing, so a generation
     being written now is newer than the one shown and is not touched. One that a reader has a
-    lease on (``reading``) stays, and goes with a later call. The
+    lease on (``reading``) stays, and goes with a later call; while a move of the tables has not ended, all stay. The
     pipeline is named by its last table. Returns the ids that were deleted.
     """
-    from .journal import settle
+    from .journal import open_move
     from .leases import give_up
 
-    settle(spark, table)  # a move that was cut off needs the files it came from
+    if open_move(spark, table) is not None:
+        return []  # under way, or cut off: then the next run needs the files it came from
     current = current_generation(spark, table)
     if current is None:
         return []

@@ -89,18 +89,21 @@ def test_a_move_cut_off_at_any_change_is_finished_or_undone(spark, names, monkey
 
 
 def test_settling_may_be_cut_off_too(spark, names, monkeypatch):
+    older = recompute(spark, steps(spark, names, 2)).generation
     recompute(spark, steps(spark, names, 3))
     with monkeypatch.context() as patched:
         cut_catalog_after(patched, 9)  # the second table has its new entry
         with pytest.raises(CutOff):
             recompute(spark, steps(spark, names, 5, extra=True))
     for n in range(4):
+        assert retire_generations(spark, names[-1], keep=0) == []
         with monkeypatch.context() as patched:
             cut_catalog_after(patched, n)
             with pytest.raises(CutOff):
                 settle(spark, names[-1])
     assert settle(spark, names[-1]) == journal.UNDONE
     assert state(spark, names) == [(["id"], 3, "3 rows")] * 3
+    assert retire_generations(spark, names[-1], keep=0) == [older]
 
 
 def test_the_first_generation_is_taken_away_again(spark, names, monkeypatch):
@@ -109,6 +112,7 @@ def test_the_first_generation_is_taken_away_again(spark, names, monkeypatch):
         with pytest.raises(CutOff):
             recompute(spark, steps(spark, names, 3))
     assert spark.catalog.tableExists(names[0])
+    assert retire_generations(spark, names[-1], keep=0) == []
     assert settle(spark, names[-1]) == journal.UNDONE
     assert not any(spark.catalog.tableExists(n) for n in names)
     recompute(spark, steps(spark, names, 4))
