@@ -12,9 +12,10 @@ their weights renormalised; nothing is dropped or repeated. Only the frames are
 the driver: at most (sources x W) numbers, both bounded by parameters. Numbering the
 documents and looking up slots is done by Spark.
 
-Of more sources than a plan holds, those with few slots of the frame share one group. It goes
+Without weights, sources with few slots of the frame share one group, however many sources there are. It goes
 by the same slots; within it documents go by virtual time, (number - offset) / weight, which Spark
-sorts: of any number of sources each advances in proportion to its weight.
+sorts: of any number of sources each advances in proportion to its weight. Which sources these are
+depends on shares alone, so neither one more source nor more documents of all change the method.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from .storage import materialise
 
 #: Least number of slots of a frame, and slots per source: weights are rounded to multiples of one over the larger of both.
 FRAME, SLOTS_EACH = 1000, 10
-#: Sources with slots of their own, as the plan is made on the driver; without weights the rest is mixed by Spark.
+#: Sources with slots of their own, as the plan is made on the driver; without weights those with a smaller share than one over it have none.
 MAX_SOURCES = 500
-#: With more sources than that, those with fewer slots of the frame share a group: rounding would move them too far.
+#: Without weights, sources with fewer slots of the frame share a group: rounding would move them too far.
 LEAST_SLOTS = 10
 BLOCK = 8
 #: Documents of a source that are numbered together in one task.
@@ -127,7 +128,7 @@ def mix(
     block from its share of the phase. Positions run from 0 without gaps only where
     blocks are full; their order is the mix. Columns named like the three are replaced.
 
-    Without weights, of more than ``MAX_SOURCES`` sources only those with at least ``LEAST_SLOTS`` slots of a frame have
+    Without weights, only sources with at least ``LEAST_SLOTS`` slots of a frame (and one in ``MAX_SOURCES`` of the whole) have
     blocks of their own. The others (and null) share ``"*"``, which weighs their sum and runs as one source.
     """
     name = F.coalesce(F.col(source).cast("string"), F.lit(REST))
@@ -142,22 +143,17 @@ def mix(
     order = tuple(inner[named.index(o)] for o in order)
     docs = docs.select(group.alias("_group"), *(F.col(f"`{c}`").alias(i) for c, i in zip(named, inner)))
     counts = materialise(docs.groupBy("_group").count(), "mix-sources")
-    few = counts.limit(MAX_SOURCES + 2).collect()  # one row per weight
-    rest = None
-    if len(few) <= MAX_SOURCES + 1:
-        sizes = {r["_group"]: r["count"] for r in few}
-        if weights is None:
-            weights = {s: float(n) ** power for s, n in sizes.items()}
-    else:
-        sizes, weights, rest = _largest(counts, frame, power)
-    if missing := [s for s in sizes if s not in weights]:
-        raise ValueError(f"sources without a weight, and none for {REST!r}: {missing}")
-    if rest is None:
-        numbered = _numbered(docs, counts, order, bucket)
-    else:
+    if weights is None:
+        sizes, weights = _largest(counts, frame, power)
         own = F.col("_group").isin([s for s in sizes if s != REST])
         numbered = _numbered(docs.where(own), counts.where(own), order, bucket)
-        numbered = numbered.unionByName(_in_virtual_time(docs.where(~own), rest, sizes[REST], order, bucket, power))
+        if REST in sizes:
+            numbered = numbered.unionByName(_in_virtual_time(docs.where(~own), counts.where(~own), sizes[REST], order, bucket, power))
+    else:
+        sizes = {r["_group"]: r["count"] for r in counts.collect()}  # one row per weight
+        if missing := [s for s in sizes if s not in weights]:
+            raise ValueError(f"sources without a weight, and none for {REST!r}: {missing}")
+        numbered = _numbered(docs, counts, order, bucket)
     phases, frames = plan(weights, {s: -(-n // block) for s, n in sizes.items()}, frame)
     spark = docs.sparkSession
     p = spark.createDataFrame(phases, "_group string, _first bigint, _end bigint, _weight bigint, _phase int, _at bigint, _frame bigint")
@@ -175,16 +171,17 @@ def mix(
     return placed.select(*(F.col(i).alias(c) for c, i in zip(named, inner)), "block", "slot", "position")
 
 
-def _largest(counts: DataFrame, frame: int, power: float) -> tuple[dict[str, int], dict[str, float], DataFrame]:
-    """Sizes and weights of the sources with enough slots of the frame and of the rest, and the rest's counts."""
+def _largest(counts: DataFrame, frame: int, power: float) -> tuple[dict[str, int], dict[str, float]]:
+    """Sizes and weights of the sources with enough slots of the frame, and of the rest, if any, as one."""
     weighed = counts.withColumn("_w", F.pow(F.col("count").cast("double"), F.lit(power)))
-    whole = weighed.agg(F.sum("_w").alias("w")).first()["w"]
-    large = weighed.where((F.col("_group") != REST) & (F.col("_w") * frame >= LEAST_SLOTS * whole))
-    large = large.orderBy(F.desc("_w"), "_group").limit(MAX_SOURCES).collect()
-    rest = weighed.where(~F.col("_group").isin([r["_group"] for r in large]))
-    summed = rest.agg(F.sum("count").alias("n"), F.sum("_w").alias("w")).first()
-    sizes = {r["_group"]: r["count"] for r in large} | {REST: summed["n"]}
-    return sizes, {r["_group"]: r["_w"] for r in large} | {REST: summed["w"]}, rest.select("_group", "count")
+    whole = weighed.agg(F.sum("_w").alias("w")).first()["w"] or 0.0
+    least = max(LEAST_SLOTS / frame, 1 / MAX_SOURCES) * whole  # so at most MAX_SOURCES reach it
+    large = weighed.where((F.col("_group") != REST) & (F.col("_w") >= least)).collect()
+    rest = weighed.where((F.col("_group") == REST) | (F.col("_w") < least)).agg(F.sum("count").alias("n"), F.sum("_w").alias("w")).first()
+    sizes, weights = {r["_group"]: r["count"] for r in large}, {r["_group"]: r["_w"] for r in large}
+    if rest["n"]:
+        sizes[REST], weights[REST] = rest["n"], rest["w"]
+    return sizes, weights
 
 
 def _in_virtual_time(docs: DataFrame, counts: DataFrame, n: int, order: tuple[str, ...], bucket: int, power: float) -> DataFrame:

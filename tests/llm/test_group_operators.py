@@ -230,6 +230,17 @@ def test_a_mix_of_many_sources_of_falling_size_is_whole(spark, n):
     assert Counter((r.doc_id, r.source) for r in found) == Counter(rows) and len({r.position for r in found}) == len(rows)
 
 
+def test_one_more_source_does_not_change_how_the_others_are_mixed(spark):
+    """The 502nd source once changed the method of all small ones."""
+    rows = [(i, "large") for i in range(6000)] + [(10_000 + i, f"s{i % 500}") for i in range(2000)]
+    order = []
+    for more in ([], [(20_000 + i, "one more") for i in range(4)]):
+        found = mix(frame(spark, rows + more, "doc_id long, source string")).orderBy("position").collect()
+        assert Counter((r.doc_id, r.source) for r in found) == Counter(rows + more)
+        order.append([r.doc_id for r in found if r.source.startswith("s")])
+    assert order[0] == order[1]
+
+
 def test_plan_places_every_block_once():
     blocks = {"a": 700, "b": 41, "c": 3, "d": 0}
     phases, frames = plan({"a": 1.0, "b": 1.0, "c": 4.0, "d": 1.0}, blocks, 50)
