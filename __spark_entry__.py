@@ -596,20 +596,28 @@ def ledger_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sealed = spark.read.parquet(f"{folder}/ledger")
     chained(sealed).write.parquet(f"{folder}/chain")
     chain = spark.read.parquet(f"{folder}/chain")
-    heads = ends(chain)
+    ends(chain).write.parquet(f"{folder}/heads")
+    heads = spark.read.parquet(f"{folder}/heads")
     event_id, seq = F.substring("attempt_id", 2, 20).cast("long"), F.col("seq")
     from_both = (event_id % 70 == 3) & (seq == 1)
     length = heads.select("chain", F.col("position").alias("length"))
     ended = chain.join(length, "chain").filter((F.col("position") == F.col("length")) & (event_id % 11 == 0))
-    ended = ended.select("attempt_id", "seq")
+    ended.select("attempt_id", "seq").write.parquet(f"{folder}/ended")
+    ended = spark.read.parquet(f"{folder}/ended")
     both = F.count("*").over(Window.partitionBy("chain", "attempt_id")) == 2
-    moved = (
-        F.when((event_id % 90 == 4) & both & (seq == 1), F.col("position") + 1)
-        .when((event_id % 90 == 4) & both & (seq == 2), F.col("position") - 1)
-        .otherwise(F.col("position"))
-    )
-    ledger = sealed.filter(~from_both & ~((event_id % 50 == 0) & (seq == 2))).join(ended, ["attempt_id", "seq"], "left_anti")
-    left = chain.withColumn("position", moved).filter(~from_both).join(ended, ["attempt_id", "seq"], "left_anti")
+    moved = F.when(both & (seq == 1), F.col("position") + 1).when(both & (seq == 2), F.col("position") - 1).otherwise(F.col("position"))
+
+    def some(rows: DataFrame, which: F.Column, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """All rows, some changed; only these are shuffled for it."""
+        asked = F.coalesce(which, F.lit(False))
+        return rows.filter(~asked).unionByName(change(rows.filter(asked)).select(rows.columns))
+
+    def not_ended(rows: DataFrame) -> DataFrame:
+        return some(rows, event_id % 11 == 0, lambda found: found.join(ended, ["attempt_id", "seq"], "left_anti"))
+
+    ledger = not_ended(sealed.filter(~from_both & ~((event_id % 50 == 0) & (seq == 2))))
+    left = some(chain, event_id % 90 == 4, lambda found: found.withColumn("position", moved))
+    left = not_ended(left.filter(~from_both))
     key = sealed.select("pipeline_key").distinct().withColumn("chain", chain_of())
     breaks = chain_breaks(ledger, left, heads)
     return breaks.join(key, "chain").select("pipeline_key", "position", "attempt_id", "seq", "problem")

@@ -36,6 +36,18 @@ def _next_link(before: Column, integrity: Column) -> Column:
     return F.sha2(F.concat(before, F.coalesce(integrity, F.lit(""))), 256)
 
 
+def _packed(text: Column) -> Column:
+    """Text as bytes that tell every text apart; lower-case hexadecimal, as of hashes, takes half, for shuffles."""
+    raw = F.unhex(text)
+    is_hex = F.coalesce(F.lower(F.hex(raw)) == text, F.lit(False))
+    return F.when(is_hex, F.concat(F.unhex(F.lit("00")), raw)).otherwise(F.concat(F.unhex(F.lit("01")), text.cast("binary")))
+
+
+def _unpacked(packed: Column) -> Column:
+    rest = F.substring(packed, 2, 1 << 30)
+    return F.when(F.substring(packed, 1, 1) == F.unhex(F.lit("00")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def chained(sealed: DataFrame) -> DataFrame:
     """The chain entries of a sealed ledger, each pipeline's records by attempt and position.
 
@@ -70,13 +82,15 @@ def chain_breaks(ledger: DataFrame, chain: DataFrame, heads: DataFrame) -> DataF
     No rows mean that every record is there, unaltered, in its order, and nothing else. Records and entries meet in one
     aggregation and entries meet the one before by an equality of chain and position, so a long
     chain is not a single task. Repeated records need as many entries. ``position`` is null for a record without an entry.
+    Hashes are shuffled as bytes.
     """
     record = ["chain", "attempt_id", "seq", "integrity"]
     ours = ledger.select(chain_of().alias("chain"), "attempt_id", "seq", "integrity", F.lit(None).cast("long").alias("position"))
     both = ours.withColumn("n", F.lit(1)).unionByName(chain.select(*record, "position").withColumn("n", F.lit(-1)))
+    both = both.withColumns({name: _packed(F.col(name)) for name in ("chain", "integrity")})
     counted = both.groupBy(*record).agg(F.sum("n").alias("n"), F.min("position").alias("position"))
     uneven = counted.filter("n <> 0").select(
-        "chain",
+        _unpacked(F.col("chain")).alias("chain"),
         F.when(F.col("n") < 0, F.col("position")).alias("position"),
         "attempt_id",
         "seq",
@@ -85,12 +99,15 @@ def chain_breaks(ledger: DataFrame, chain: DataFrame, heads: DataFrame) -> DataF
     before = chain.select(F.col("chain").alias("_chain"), (F.col("position") + 1).alias("_position"), F.col("link").alias("_link"))
     first = heads.select("chain").union(chain.select("chain")).distinct()
     before = before.unionByName(first.select(F.col("chain").alias("_chain"), F.lit(1).cast("long").alias("_position"), F.col("chain").alias("_link")))
+    before = before.withColumns({name: _packed(F.col(name)) for name in ("_chain", "_link")})
+    entries = chain.withColumns({name: _packed(F.col(name)) for name in ("chain", "integrity", "link")})
     at = (F.col("chain") == F.col("_chain")) & (F.col("position") == F.col("_position"))
-    follows = F.coalesce(F.col("link") == _next_link(F.col("_link"), F.col("integrity")), F.lit(False))
-    unlinked = chain.join(before, at, "left").groupBy("chain", "position", "attempt_id", "seq").agg(
+    next_link = _next_link(_unpacked(F.col("_link")), _unpacked(F.col("integrity")))
+    follows = F.coalesce(_unpacked(F.col("link")) == next_link, F.lit(False))
+    unlinked = entries.join(before, at, "left").groupBy("chain", "position", "attempt_id", "seq").agg(
         F.count("*").alias("n"), F.bool_and(follows).alias("follows")
     )
-    unlinked = unlinked.filter("n > 1 OR NOT follows").select("chain", "position", "attempt_id", "seq", F.lit(NOT_LINKED).alias("problem"))
+    unlinked = unlinked.filter("n > 1 OR NOT follows").select(_unpacked(F.col("chain")).alias("chain"), "position", "attempt_id", "seq", F.lit(NOT_LINKED).alias("problem"))
     shown = ends(chain).select(F.col("chain").alias("_chain"), F.col("position").alias("_position"), F.col("link").alias("_link"))
     kept = heads.select(F.col("chain"), F.col("position"), F.col("link"))
     same = F.col("position").eqNullSafe(F.col("_position")) & F.col("link").eqNullSafe(F.col("_link"))

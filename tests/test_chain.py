@@ -107,6 +107,18 @@ def test_a_chain_of_thousands_is_not_one_task(spark):
     assert found.where(F.col("problem") == NOT_LINKED).count() == n
 
 
+@pytest.mark.parametrize("integrity", ["", "AB", "ab", "abc", "xy", "\u00e9", None])
+def test_hashes_are_compared_as_bytes_and_odd_ones_are_told_apart(spark, integrity):
+    record = sealed(spark, ROWS[:2]).withColumn("integrity", F.lit("ab"))
+    chain = chained(record)
+    other = record.withColumn("integrity", F.lit(integrity).cast("string"))
+    found = chain_breaks(other, chain, ends(chain))
+    assert "unhex" in found._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.chain, r.attempt_id, r.seq, r.problem) for r in found.collect())
+    names = [(r.chain, r.attempt_id, r.seq) for r in chain.collect()]
+    assert rows == ([] if integrity == "ab" else sorted((*n, p) for n in names for p in (NO_RECORD, NO_ENTRY)))
+
+
 # --- the ledger table
 
 
