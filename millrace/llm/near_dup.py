@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialise
 from .words import SPACES, byte_table, grams, mix, pieces, words
+from .workers import give_back
 
 BANDS = 40
 ROWS = 5
@@ -98,6 +99,7 @@ def _signer(size: int, bands: int, rows: int):
         lists = pa.ListArray.from_arrays(
             pa.array(np.append(0, offsets), pa.int32()), pa.array(keys[n > 0].reshape(-1).view(np.int64))
         )
+        give_back()
         return pa.StructArray.from_arrays([pa.array(n), pa.array(a), pa.array(b), lists], ["n", "a", "b", "bands"])
 
     return sign
@@ -115,7 +117,9 @@ def _set_of(size: int):
     def shingles(texts: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
         """The text's set, or null if it is not the one with these sums."""
         wanted = zip(a.to_pylist(), b.to_pylist())
-        return pa.array([s.tobytes() if _sums(s) == w else None for s, w in zip(shingle_sets(texts, size), wanted)], pa.binary())
+        made = pa.array([s.tobytes() if _sums(s) == w else None for s, w in zip(shingle_sets(texts, size), wanted)], pa.binary())
+        give_back()
+        return made
 
     return shingles
 
